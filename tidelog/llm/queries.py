@@ -8,6 +8,32 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.token_store import read_store, with_crc, write_store
+
+    manifest = write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return with_crc(read_store(manifest))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.bpe import decode_documents, encode_documents, ids_text
+
+    path = vocabulary("byte_bpe_50k.json")
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return decode_documents(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text().cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.lines import dedup_lines
 
@@ -36,7 +62,9 @@ from m group by r, doc_id
 
 def queries() -> dict:
     return {
+        "op1_token_store": op1_token_store,
         "op2_line_dedup": op2_line_dedup,
+        "op3_bpe": op3_bpe,
         "op6_sharding": op6_sharding,
     }
 
