@@ -48,6 +48,34 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=8)
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"]).cast("long")).alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("_items") >= 2).alias("contaminated"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP2_SQL = r"""
 with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as a from documents),
 l as (select doc_id, r, unnest(a) as line, generate_subscripts(a, 1) as pos from d),
@@ -66,6 +94,9 @@ def queries() -> dict:
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
         "op6_sharding": op6_sharding,
+        "op7_decontamination": op7_decontamination,
+        "op8_toxicity": op8_toxicity,
+        "op9_simhash": op9_simhash,
     }
 
 
