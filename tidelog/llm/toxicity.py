@@ -69,8 +69,8 @@ class ToxicityModel:
         return score
 
 
-def fit_nnpu(rows_p: list[list[int]], rows_u: list[list[int]], n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias under the sigmoid loss, which is bounded. rows: the features of each text, repeats counting."""
+def fit_nnpu(rows_p: list[list[int]], rows_u: list[list[int]], n_features: int, prior: float, *, steps: int = 400, warm: int = 150, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the risk. rows: the features of each text, repeats counting."""
 
     def packed(rows):
         at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -87,10 +87,16 @@ def fit_nnpu(rows_p: list[list[int]], rows_u: list[list[int]], n_features: int,
         return np.append(np.bincount(x[1], slope[x[0]], n_features), slope.sum())
 
     for step in range(1, steps + 1):
-        sp, su = sigmoid(margin(p)), sigmoid(margin(u))  # the loss for the negative class; 1 - it is that for the positive
-        rise_p, rise_u = gradient(p, sp * (1 - sp)), gradient(u, su * (1 - su))
-        negative = rise_u - prior * rise_p
-        g = negative - prior * rise_p if su.mean() - prior * sp.mean() >= 0 else -negative
+        zp, zu = margin(p), margin(u)
+        sp, su = sigmoid(zp), sigmoid(zu)
+        if step <= warm:  # logistic loss, which is convex
+            positive, negative = prior * gradient(p, sp - 1), gradient(u, su) - prior * gradient(p, sp)
+            risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        else:  # sigmoid loss, which is bounded: a few far texts can't push the risk below zero
+            rise = gradient(p, sp * (1 - sp))
+            positive, negative = -prior * rise, gradient(u, su * (1 - su)) - prior * rise
+            risk = su.mean() - prior * sp.mean()
+        g = positive + negative if risk >= 0 else -negative
         g[:-1] += decay * weight
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
