@@ -76,6 +76,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.warc import page_of, read_warc, write_archive
+
+    path = write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = read_warc(spark, path, where=F.col("record_type").isin("response", "revisit"), payload=False)
+    return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
 OP2_SQL = r"""
 with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as a from documents),
 l as (select doc_id, r, unnest(a) as line, generate_subscripts(a, 1) as pos from d),
@@ -97,6 +105,7 @@ def queries() -> dict:
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
+        "op10_warc": op10_warc,
     }
 
 
