@@ -41,6 +41,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.shards import balanced_shards
 
@@ -95,12 +101,22 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (lost)
 from m group by r, doc_id
 """
 
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
 
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
+        "op5_top_k": op5_top_k,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
@@ -110,4 +126,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_top_k": OP5_SQL}
