@@ -41,6 +41,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.topk import exact_top_k
 
@@ -116,6 +122,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
+        "op4_html": op4_html,
         "op5_top_k": op5_top_k,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
