@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,14 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def gathered(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items number at[0], at[1], ... of flat (which holds items of the given sizes) one after the other, and where each starts and the last ends."""
+    start = np.concatenate([[0], np.cumsum(size)])
+    number = size[at]
+    ends = np.concatenate([[0], np.cumsum(number)])
+    return flat[np.repeat(start[at] - ends[:-1], number) + np.arange(ends[-1])], ends
+
+
 class PairTree:
     """Minima of (rank, place) over the adjacent pairs of one piece."""
 
@@ -94,6 +103,11 @@ class ByteBPE:
         order = sorted(self.rank)
         self.codes, self.code_rank = np.array(order or [-2], np.int64), np.array([self.rank[x] for x in order] or [0], np.int64)
         self.made = np.array(self.merged, np.int64)
+        self.byte_ids, self.all_bytes = np.array(self.of_byte, np.int64), min(self.of_byte) >= 0
+        self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
+        self.token_size = np.array([len(x) for x in self.token], np.int64)
+        #: Cuts of letters and at most one mark, for which the pattern's answer is plain.
+        self.plain = re.compile(r"( ?[A-Za-z]+)([.,;:!?]?)").fullmatch
         self.pieces = regex.compile(PIECES)
         self.at_special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cuts = re.compile(r" *[^ ]+| +")
@@ -129,13 +143,13 @@ class ByteBPE:
             i = after[i]
         return out
 
-    def merge_many(self, pieces: list[list[int]]) -> list[np.ndarray]:
-        """merge() of many short pieces at once: one segment tree for each, in the rows of an array."""
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of many short pieces at once, a segment tree for each in the rows of an array; ids as 32-bit integers."""
         n = np.array([len(x) for x in pieces])
         width = 1 << int(n.max() - 1).bit_length() if n.max() > 1 else 1
         end = width  # a place behind the last: writes to it are void
         ids = np.full((len(pieces), width + 1), -1, np.int64)
-        ids[np.arange(width + 1) < n[:, None]] = np.concatenate([np.array(x, np.int64) for x in pieces])
+        ids[np.arange(width + 1) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         after = np.minimum(np.arange(1, width + 2), n[:, None])
         after[after == n[:, None]] = end
         before = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
@@ -161,7 +175,9 @@ class ByteBPE:
                 ok = (at >= 0) & (at < width)
                 self._put(tree, live[ok], width + at[ok], value[ok])
             live = live[tree[live, 1] < NONE]
-        return [row[row >= 0] for row in ids]
+        stay = ids >= 0
+        raw, cut = ids[stay].astype("<i4").tobytes(), np.concatenate([[0], np.cumsum(stay.sum(1))]) * 4
+        return [raw[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = np.where((a < 0) | (b < 0), -1, a * self.width + b)
@@ -179,54 +195,96 @@ class ByteBPE:
             node = node >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    def _learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of pieces, short ones together by length class."""
-        found, by = {}, {}
+        found: dict[str, bytes] = {}
+        by: dict[int, list[tuple[str, bytes]]] = {}
         for x in pieces:
-            ids = [i for b in x.encode() if (i := self.of_byte[b]) >= 0]
-            if len(ids) > 64:
-                found[x] = np.array(self.merge(ids), "<i4").tobytes()
-            elif ids:
-                by.setdefault((len(ids) - 1).bit_length(), []).append((x, ids))
+            raw = x.encode()
+            if len(raw) > 64 or not self.all_bytes:
+                found[x] = np.array(self.merge([i for b in raw if (i := self.of_byte[b]) >= 0]), "<i4").tobytes()
             else:
-                found[x] = b""
+                by.setdefault((len(raw) - 1).bit_length(), []).append((x, raw))
         for group in by.values():
             for at in range(0, len(group), 8192):
                 part = group[at : at + 8192]
-                for (x, _), ids in zip(part, self.merge_many([ids for _, ids in part]), strict=True):
-                    found[x] = ids.astype("<i4").tobytes()
+                found.update(zip([x for x, _ in part], self.merge_many([raw for _, raw in part]), strict=True))
+        return found
+
+    def _pieces(self, cut: str) -> list[str]:
+        """The pieces of a cut; a special token is a piece of its own."""
+        if m := self.plain(cut):
+            return [x for x in m.groups() if x]
+        if self.at_special is None or not self.at_special.search(cut):
+            return self.pieces.findall(cut)
+        return [y for i, x in enumerate(self.at_special.split(cut)) for y in ([x] if i % 2 else self.pieces.findall(x))]
+
+    def _learn(self, cuts: list[str]) -> dict[str, bytes]:
+        """The ids of cuts that are new."""
+        if len(self.of_piece) >= self.cached:
+            self.of_piece.clear()
+        if len(self.of_cut) >= self.cached:
+            self.of_cut.clear()
+        of, split = self.of_piece, [self._pieces(x) for x in cuts]
+        new = self._learn_pieces([x for x in set().union(*split) if x not in of and x not in self.special])
+        new |= {x: np.array([i], "<i4").tobytes() for x, i in self.special.items()}
+        of.update((x, y) for x, y in new.items() if len(x) <= 64 and x not in self.special)
+        get = lambda x: y if (y := new.get(x)) is not None else of[x]
+        found = {cut: b"".join(map(get, parts)) for cut, parts in zip(cuts, split, strict=True)}
+        self.of_cut.update((x, y) for x, y in found.items() if len(x) <= 64)
         return found
 
-    def _learn(self, cuts: set[str]) -> dict[str, bytes]:
-        split, of = {}, self.of_piece
-        for cut in cuts:
-            parts = self.at_special.split(cut) if self.at_special else [cut]
-            split[cut] = [[x] if i % 2 else self.pieces.findall(x) for i, x in enumerate(parts)]
-        if len(of) >= self.cached:
-            of.clear()
-        new = self._learn_pieces({x for parts in split.values() for part in parts[::2] for x in part} - of.keys())
-        of.update((x, y) for x, y in new.items() if len(x) <= 64)
-        get = lambda x: new[x] if x in new else of[x]
-        return {cut: b"".join(np.int32(self.special[part[0]]).tobytes() if i % 2 else b"".join(map(get, part)) for i, part in enumerate(parts)) for cut, parts in split.items()}
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split, of = [self.cuts.findall(x) for x in texts], self.of_cut
-        if len(of) >= self.cached:
-            of.clear()
-        new = self._learn(set().union(*split) - of.keys())
-        of.update((x, y) for x, y in new.items() if len(x) <= 64)
-        long = {x: y for x, y in new.items() if len(x) > 64}
-        if not long:
-            return [b"".join(map(of.__getitem__, x)) for x in split]
-        return [b"".join([long[c] if c in long else of[c] for c in x]) for x in split]
+    def _known(self, cuts: list[str]) -> list[bytes]:
+        """The ids of distinct cuts."""
+        own = list(map(self.of_cut.get, cuts))
+        if None in own:
+            new = self._learn([x for x, y in zip(cuts, own, strict=True) if y is None])
+            own = [new[x] if y is None else y for x, y in zip(cuts, own, strict=True)]
+        return own
+
+    def encode_many(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text; null is the empty text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        runs = pc.match_substring(texts, "  ")  # runs of blanks: these texts are cut one by one
+        split = pc.split_pattern(pc.if_else(runs, "", texts), " ")
+        coded = split.flatten().dictionary_encode()
+        at, number = coded.indices.to_numpy().astype(np.int64), split.value_lengths().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(number)])
+        # all but a text's first cut begin with a blank
+        own = self._known([" " + x for x in coded.dictionary.to_pylist()])
+        first = self._known(heads := list(dict.fromkeys(coded.dictionary.take(coded.indices.take(pa.array(ends[:-1]))).to_pylist())))
+        place = {x: len(own) + i for i, x in enumerate(heads)}
+        at[ends[:-1]] = [place[x] for x in coded.dictionary.take(coded.indices.take(pa.array(ends[:-1]))).to_pylist()]
+        flat, size = np.frombuffer(b"".join([*own, *first]), "<i4"), np.array([len(x) for x in [*own, *first]], np.int64) // 4
+        ids, offsets = gathered(flat, size, at)
+        lists = pa.ListArray.from_arrays(pa.array(offsets[ends], pa.int32()), pa.array(ids))
+        if not pc.any(runs).as_py():
+            return lists
+        cut = [self.cuts.findall(x) for x in texts.filter(runs).to_pylist()]
+        of = dict(zip(every := list(set().union(*cut)), self._known(every), strict=True))
+        odd = iter([np.frombuffer(b"".join([of[x] for x in own]), "<i4") for own in cut])
+        parts = [next(odd) if r else ids[a:b] for r, a, b in zip(runs.to_pylist(), offsets[ends[:-1]].tolist(), offsets[ends[1:]].tolist(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate(parts)))
+
+    def decode_many(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids; null is the empty text."""
+        flat = ids.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())])
+        raw, offsets = gathered(self.token_bytes, self.token_size, flat)
+        cut = offsets[ends]
+        out = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that end within a character
+            whole = raw.tobytes()
+            return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.string())
+        return out.cast(pa.string())
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
+        return self.encode_many(pa.array([text], pa.string()))[0].as_py()
 
     def decode(self, ids) -> str:
-        token = self.token
-        return b"".join([token[i] for i in ids]).decode("utf-8", "replace")
+        return self.decode_many(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 _loaded: dict[str, ByteBPE] = {}
@@ -265,21 +323,11 @@ def _mapped(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
 
 
 def _encoder(path: str, at: int):
-    def column(part: pa.RecordBatch) -> pa.Array:
-        bpe = loaded(path)
-        coded = bpe.encode_many([x or "" for x in part.column(at).to_pylist()])
-        ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-
-    return column
+    return lambda part: loaded(path).encode_many(part.column(at))
 
 
 def _decoder(path: str, at: int):
-    def column(part: pa.RecordBatch) -> pa.Array:
-        bpe = loaded(path)
-        return pa.array([bpe.decode(x) if x else "" for x in part.column(at).to_pylist()], pa.string())
-
-    return column
+    return lambda part: loaded(path).decode_many(part.column(at))
 
 
 def ids_text(ids: str = "ids"):
