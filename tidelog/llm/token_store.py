@@ -25,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.bpe import byte_symbols, gathered
 from tidelog.llm.common import filled, open_fs, scratch, ship, stored
 
 MARK = b"TLSHARD1"
@@ -123,14 +125,15 @@ class WordEncoder:
 
     The vocabulary's pattern drops white space and lets no token reach over it, so a text's ids are those of its words
     between ASCII white space, one after the other. A-Z may be lowered first, as the vocabulary's normaliser lowers them,
-    but not where a special token could come about. A word of plain letters and marks goes to the library's model in runs
-    of either, as the vocabulary's pattern cuts it; any other word goes through the library's whole pipeline.
+    but not where a special token could come about. A word of plain letters and marks (which the normaliser leaves as they
+    are but for case) goes to the library's model in runs of either, as the vocabulary's pattern cuts it; any other word
+    goes through the library's whole pipeline.
     """
 
-    PLAIN = re.compile(rb"[a-z.,;:!?()&%$#*\"/+=_-]+")
-    RUNS = re.compile(r"[a-z]+|[^a-z]+")
+    PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ.,;:!?()&%$#*\"/+=_-]+")
+    RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -138,31 +141,48 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
+        self.symbols = byte_symbols()
         self.cached, self.of, self.of_run = cached, {}, {}
 
     def _run(self, run: str) -> bytes:
         found = self.of_run.get(run)
         if found is None:
-            found = self.of_run[run] = array(self.kind, [x.id for x in self.tokenizer.model.tokenize(run)]).tobytes()
+            own = run if run.isascii() else "".join([self.symbols[b] for b in run.encode()])
+            found = self.of_run[run] = array(self.kind, [x.id for x in self.tokenizer.model.tokenize(own)]).tobytes()
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(raw if b"<|" in raw else raw.lower()).split() for raw in (x.encode() for x in texts)]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are new."""
         if len(self.of) >= self.cached:
             self.of.clear()
         if len(self.of_run) >= self.cached:
             self.of_run.clear()
-        of, plain, run, runs = self.of, self.PLAIN.fullmatch, self._run, self.RUNS.findall
-        other = []
-        for w in set().union(*split) - of.keys():
+        found, other, plain, runs, run = {}, [], self.PLAIN.fullmatch, self.RUNS.findall, self._run
+        for w in words:
             if plain(w):
-                of[w] = b"".join(map(run, runs(w.decode())))
+                found[w] = b"".join(map(run, runs(w.lower())))
             else:
                 other.append(w)
-        for w, x in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-            of[w] = array(self.kind, x.ids).tobytes()
-        get = of.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for w, x in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            found[w] = array(self.kind, x.ids).tobytes()
+        self.of.update((w, x) for w, x in found.items() if len(w) <= 64)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); null is the empty text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        own = list(map(self.of.get, words))
+        if None in own:
+            new = self._learn([w for w, x in zip(words, own, strict=True) if x is None])
+            own = [new[w] if x is None else x for w, x in zip(words, own, strict=True)]
+        flat = np.frombuffer(b"".join(own), f"<u{self.width}")
+        size = np.array([len(x) for x in own], np.int64) // self.width
+        ids, ends = gathered(flat, size, at)
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -191,17 +211,16 @@ def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
         uri = f"{home}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
         out, lengths, keys, n_null, n_ids = None, [], [], 0, 0
         width = encoder.width
-        end = int(end_id).to_bytes(width, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 if out is None:
                     store, to = open_fs(uri)
                     store.create_dir(to.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(to)
-                coded = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                out.write(b"".join(coded))
-                lengths.append(np.array([len(x) // width for x in coded], np.int64))
+                ids, number = encoder.encode(part.column(1))
+                out.write(np.insert(ids, np.cumsum(number), end_id).tobytes())
+                lengths.append(number + 1)
                 n_null += part.column(0).null_count
                 keys.append(part.column(0).drop_null().to_numpy())
         if out is None:
