@@ -1,0 +1,126 @@
+"""op4 by pages with known layout and a plain parser; op10 by round trips."""
+
+import base64
+import hashlib
+import re
+from html.parser import HTMLParser
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm.html import extract, rendered
+from tidelog.llm.warc import page_of, parsed, read_warc, record, write_archive
+
+LAYOUT = {
+    "<p>a  b<p>c<br>d<div>e</div>f": "a b\n\nc\nd\n\ne\nf",
+    "<ul><li>one<li>two<ol start=3><li>x<li>y</ol><li>three</ul>after": "- one\n- two\n  3. x\n  4. y\n- three\n\nafter",
+    "<table><caption>Cap</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>kiwi fruit<td>12</table>end": "Cap\nName        Qty\napple       3\nkiwi fruit  12\n\nend",
+    "<table><td>a<td rowspan=2>b<tr><td>c<td>d</table>": "a  b\nc     d",
+    "<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>": "wide cell  z\na  b       c",
+    "<p hidden>no</p><p style='color:red; display:none'>no</p><b>yes</b><script>x<p></script><!-- c --> &amp; &lt;z": "yes & <z",
+    "<pre>\n a\n  b</pre>text<blockquote>q1<p>q2</blockquote>": " a\n  b\n\ntext\n\n  q1\n\n  q2",
+    "<html><head><title>T</title><body>x<dl><dt>k<dd>v<dt>k2<dd>v2</dl>": "x\n\nk\n  v\nk2\n  v2",
+    '<a b="<p>">hi</a> 1 < 2 <': "hi 1 < 2 <",
+    "<details><summary>s</summary>h</details><details open><summary>t</summary>h</details>": "s\nt\nh",
+    "<p unclosed": "",
+    "<select><option>a<option>b</select><input type=submit value=Go><textarea> x\n y</textarea>": "a\nb\nGo\n\n x\n y",
+    "<b><p>x</b>y</p>z": "x\n\nyz",
+    "x<!-- never ends": "x",
+    "&nbsp;a&nbsp;": "\xa0a\xa0",
+    "<ul><li><li>b</ul>": "- b",
+    "<table><tr><td>a<table><tr><td>in</table>b<td>c</table>": "a   c\n\nin\n\nb",
+}
+
+
+@pytest.mark.parametrize("html", LAYOUT)
+def test_layout(html):
+    assert rendered(html) == LAYOUT[html]
+
+
+def test_depth_and_length():
+    assert rendered("<b>" * 50_000 + "z") == "z"
+    assert rendered("<div>" * 20_000 + "z" + "</div>" * 20_000) == "z"
+    assert rendered("<ul><li>" * 500 + "z").endswith("z")
+    assert len(rendered("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
+    assert rendered("<a '" * 20_000) == ""
+
+
+class Plain(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "title")
+        self.out.append("" if tag in ("a", "b", "i", "span") else " ")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "title")
+        self.out.append("" if tag in ("a", "b", "i", "span") else " ")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+
+
+def test_all_visible_words_of_the_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").withColumn("text", F.lit("clash"))
+    got = extract(rows).collect()
+    assert len(got) == rows.count()
+    for r in got:
+        p = Plain()
+        p.feed(r.html or "")
+        p.close()
+        assert re.sub(r"^(- |\d+\. )", "", r.text, flags=re.M).split() == "".join(p.out).split()
+    few = spark.createDataFrame([(1, None), (2, ""), (2, "")], "page_id long, html string")
+    assert [r.text for r in extract(few).collect()] == ["", "", ""]
+    assert extract(few.limit(0)).count() == 0
+
+
+def sha(x):
+    return base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+
+@pytest.mark.parametrize("gzip", ["false", "true"])
+def test_archive(spark, tmp_path, gzip):
+    odd = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
+    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (None, None, "<p>x</p>"), (None, "http://n", None), (3, "http://c", "y" * 200_000), (4, "http://d", odd), (5, "http://é", ""), (6, "u", "é" * 70_000), (3, "http://c2", "y" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).repartition(2)
+    home = write_archive(pages, str(tmp_path / "w"), gzip=gzip, fileBytes=100_000)
+    got = read_warc(spark, home).collect()
+    assert len(got) == len(rows)
+    largest = {}
+    for k, _, h in rows:
+        if k is not None:
+            largest[h or ""] = max(k, largest.get(h or "", k))
+    want = []
+    for k, u, h in rows:
+        body = (h or "").encode()
+        to = largest.get(h or "")
+        again = to is not None and to != k
+        want.append((f"urn:page:{'null' if k is None else k}", len(body), sha(body), "revisit" if again else "response", f"urn:page:{to}" if again else None, None if again else body))
+    assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
+    bare = read_warc(spark, home, where=F.col("record_type") == "revisit", payload=False)
+    assert sorted(r.record_id for r in bare.collect()) == sorted(w[0] for w in want if w[3] == "revisit")
+    some = read_warc(spark, home, where=F.col("target_uri").startswith("http://c") & F.col("payload_digest").isin(sha(b"y" * 200_000)))
+    assert sorted(r.target_uri for r in some.collect()) == ["http://c", "http://c2"]
+    assert some.count() == 2 and some.where("target_uri = 'http://c2'").count() == 1
+    assert read_warc(spark, home).count() == len(rows)
+    assert read_warc(spark, home).where(page_of("record_id") == 6).select(F.length("payload")).first()[0] == 140_000
+
+
+def test_pushdown_is_planned(spark, tmp_path):
+    home = write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    plan = read_warc(spark, home, where=F.col("record_type") == "response")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", "")
+
+
+def test_empty_archive_and_headers(spark, tmp_path):
+    home = write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert read_warc(spark, home).count() == 0
+    raw = record("response", "urn:x", "http://a", b"abc", "2024-01-01T00:00:00Z")
+    head = parsed(raw[: raw.index(b"\r\n\r\n") + 4])
+    assert head["warc-payload-digest"] == "sha1:" + sha(b"abc") and head["warc-type"] == "response"
+    assert parsed(b"WARC/1.1\r\nA: b\r\n c\r\n\r\n") == {"a": "b c"}
+    with pytest.raises(Exception, match="nowhere"):
+        read_warc(spark, str(tmp_path / "nowhere")).count()

@@ -161,7 +161,7 @@ def tree(html: str) -> Node:
 
 def close_end(stack: list[Node], tag: str) -> None:
     """An end tag: ends the nearest open element of that name, if nothing that must stay open lies between."""
-    block = tag in BLOCK or tag in SCOPE
+    block = tag in BLOCK or tag in SCOPE or tag in ("select", "datalist")
     for i in range(len(stack) - 1, 0, -1):
         own = stack[i].tag
         if own == tag:
@@ -244,7 +244,7 @@ class Page:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # column, number of columns, lines
         self.caption: list[list[str]] = []
         self.held: dict[int, int] = {}  # column -> rows that a cell above still takes
 
@@ -258,7 +258,7 @@ class Table:
             self.row()
         while self.held.get(self.at, 0):
             self.at += 1
-        self.rows[-1].append((self.at, lines))
+        self.rows[-1].append((self.at, columns, lines))
         if rows > 1:
             self.held.update({c: rows for c in range(self.at, self.at + columns)})
         self.at += columns
@@ -266,16 +266,22 @@ class Table:
     def lines(self, max_pad: int) -> list[str]:
         width: dict[int, int] = {}
         for row in self.rows:
-            for c, lines in row:
-                width[c] = max(width.get(c, 0), min(max_pad, max(map(len, lines), default=0)))
+            for c, n, lines in row:
+                width[c] = max(width.get(c, 0), min(max_pad, max(map(len, lines), default=0)) if n == 1 else 0)
+        for row in self.rows:
+            for c, n, lines in row:
+                if n > 1:  # what a cell needs beyond its columns widens the last of them that there is
+                    own = [x for x in range(c, c + n) if x in width]
+                    need = min(max_pad, max(map(len, lines), default=0)) - sum(width[x] + 2 * bool(width[x]) for x in own[:-1])
+                    width[own[-1]] = max(width[own[-1]], need)
         start, at = {}, 0
-        for c in sorted(c for c, w in width.items() if w):
-            start[c], at = at, at + width[c] + 2
+        for c in sorted(width):
+            start[c], at = at, at + width[c] + 2 * bool(width[c])
         out = [x for lines in self.caption for x in lines]
         for row in self.rows:
-            for i in range(max((len(lines) for _, lines in row), default=0)):
+            for i in range(max((len(lines) for *_, lines in row), default=0)):
                 line = ""
-                for c, lines in row:
+                for c, _, lines in row:
                     if i < len(lines) and lines[i]:
                         line = line.ljust(start[c]) if len(line) < start[c] else line + "  " * bool(line)
                         line += lines[i]
