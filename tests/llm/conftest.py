@@ -1,7 +1,12 @@
 import re
 
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture(scope="session")
 def vocabulary():

@@ -1,31 +1,17 @@
 """op7 and op9 by brute force."""
 
 import random
-import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_hand import hand_components, hand_fingerprint, hits_by_hand
 from tidelog.llm.decontaminate import SuffixAutomaton, cut_leaks, find_leaks
 from tidelog.llm.decontaminate import words as own_words
 from tidelog.llm.simhash import BKForest, components, fingerprint, keep_one, linked, near_duplicates
 
 
-def by_hand(text, items, words, window=8):
-    """(hit positions, items) by all windows of all items."""
-    own, hit, found = words(text), set(), set()
-    for item, t in items:
-        w = words(t)
-        k = min(window, len(w))
-        for j in range(len(w) - k + 1 if k else 0):
-            for at in range(len(own) - k + 1):
-                if own[at : at + k] == w[j : j + k]:
-                    hit.update(range(at, at + k))
-                    found.add(str(item) if item is not None else "")
-    return hit, found
-
-
 def corpus(seed, n, letters="abc"):
     R = random.Random(seed)
     say = lambda k: " ".join(R.choice(letters) for _ in range(k))
@@ -51,7 +37,7 @@ def test_leaks_by_hand(spark, words, odd_texts, letters, most):
     by = {(r.doc_id, r.text): r for r in got.collect()}
     assert got.count() == len(docs)
     for i, text in docs:
-        r, (hit, found) = by[i, text], by_hand(text, items, words)
+        r, (hit, found) = by[i, text], hits_by_hand(text, items, words)
         assert r._n_words == len(words(text))
         assert {p for s in r._spans for p in range(s.a, s.b)} == hit
         assert sum(s.b - s.a for s in r._spans) == len(hit)
@@ -91,15 +77,6 @@ def test_cut(spark, words):
     assert got == {1: "Before, all is well here and stays so ( ) after.", 3: rows[2][1], 4: None, 5: ""}
 
 
-def hand_fingerprint(text, lowered):
-    import xxhash
-
-    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-    own = [" ".join(w[j : j + 3]) for j in range(max(1, len(w) - 2))] if w else []
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in own]
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
-
-
 def test_fingerprints(lowered, odd_texts):
     R = random.Random(3)
     texts = odd_texts + [" ".join(R.choice(["A", "bb", "Ccc", "é"]) for _ in range(R.randint(0, 12))) for _ in range(200)]
@@ -107,25 +84,6 @@ def test_fingerprints(lowered, odd_texts):
         assert fingerprint(x) == hand_fingerprint(x, lowered)
 
 
-def hand_components(fps, ids):
-    root = list(range(len(fps)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    least = {}
-    for i in range(len(fps)):
-        r = find(i)
-        least[r] = min(x for x in (least.get(r), ids[i]) if x is not None) if least.get(r) is not None or ids[i] is not None else None
-    return [least[find(i)] for i in range(len(fps))]
-
-
 def flipped(R, n, centres):
     out = set(centres)
     while len(out) < n:
@@ -145,7 +103,7 @@ def test_forest_finds_all_within_radius():
     want = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if group[i] == group[j] and int(np.bitwise_count(fp[i] ^ fp[j])) <= 3}
     assert set(zip(q.tolist(), node.tolist(), strict=True)) == want and len(q) == len(want)
     u, v = linked(group, fp, np.ones(len(fp), bool), np.ones(len(fp), bool), slice_=37)
-    assert len(u) == len(fp) - len({tuple(sorted(x)) for x in []} | {c for c in zip(group.tolist(), _classes(want, len(fp)), strict=True)})
+    assert len(u) == len(fp) - len(set(_classes(want, len(fp))))  # a forest: one link less than members in each class
 
 
 def _classes(pairs, n):

@@ -6,31 +6,13 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from tests_llm_hand import lines_by_hand
 from tidelog.llm.lines import LineRuns, dedup_lines
 from tidelog.llm.shards import balanced_shards, write_shards
 
 LONG = "This  is a Line of more than FORTY code points, %d"
 
 
-def by_hand(rows, lowered, min_chars=40, min_docs=5):
-    where = defaultdict(list)
-    for n, (key, text) in enumerate(rows):
-        for own in {lowered(x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n")}:
-            if len(own) >= min_chars:
-                where[own].append((n, key))
-    keeper = {own: max((k for _, k in at if k is not None), default=None) for own, at in where.items() if len(at) >= min_docs}
-    out = []
-    for key, text in rows:
-        kept, lines = [], (text or "").split("\n")
-        for x in lines:
-            own = lowered(x.strip(" \t\n\x0b\x0c\r"))
-            if own in keeper and keeper[own] is not None and key != keeper[own]:
-                continue
-            kept.append(x)
-        out.append((key, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return out
-
-
 def test_lines_by_hand(spark, lowered, odd_texts):
     R = random.Random(4)
     pool = [LONG % i for i in range(12)] + ["  " + (LONG % 3).upper() + "\t", "short", "", "é" * 40, "É" * 40, " " + LONG % 4]
@@ -41,7 +23,7 @@ def test_lines_by_hand(spark, lowered, odd_texts):
         got = dedup_lines(docs, batches=batches, fanout=fanout)
         assert got.columns == [*docs.columns, "_n_lines", "_n_dropped"]
         found = sorted((r.doc_id is None, r.doc_id or 0, r._n_lines, r._n_dropped, r.text) for r in got.collect())
-        assert found == sorted((k is None, k or 0, n, d, t) for k, n, d, t in by_hand(rows, lowered))
+        assert found == sorted((k is None, k or 0, n, d, t) for k, n, d, t in lines_by_hand(rows, lowered))
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
