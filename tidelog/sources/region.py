@@ -60,6 +60,7 @@ class Region:
             self._rebuild()
         self.buffer: list[tuple[int, int, dict]] = []  # (seq, op, row)
         self.buffer_bytes = 0
+        self.block = (0, 0)  # seqs that are reserved for single writes: the next one, and the first beyond
         self.wal = Wal(self.storage, self.config.sync)
         self.wal.recover(self._hold, after=max([0, *(s.max_seq for s in self.current().segments)]))
         if self.buffer:
@@ -127,7 +128,7 @@ class Region:
     def _take(self, rows: list[tuple[int, dict]]) -> None:
         if not rows:
             return
-        base = self._reserve(len(rows))
+        base = self._seqs(len(rows))
         taken = [(base + i, op, row) for i, (op, row) in enumerate(rows)]
         self.wal.append(taken)
         for x in taken:
@@ -139,6 +140,20 @@ class Region:
         self.buffer.append(x)
         self.buffer_bytes += ROW_BYTES + sum(len(v) if isinstance(v, (bytes, bytearray, str)) else 8 for v in x[2].values() if v is not None)
 
+    def _seqs(self, n: int) -> int:
+        """The first of n seqs for single writes, out of a block that is reserved by one commit; what is left of it goes back on the next flush."""
+        at, end = self.block
+        if end - at < n:
+            at = self._reserve(size := max(n, self.config.flush_rows))
+            end = at + size
+        self.block = (at + n, end)
+        return at
+
+    def _given_back(self, g: Generation) -> Generation:
+        """g with the unused rest of the block free again, if no other writer has gone beyond it."""
+        at, end = self.block
+        return replace(g, next_seq=at) if at < end and g.next_seq == end else g
+
     def _reserve(self, n: int) -> int:
         """The first of n seqs that no other writer gets."""
         return self.manifest.commit(lambda g: replace(g, next_seq=g.next_seq + n, schema=g.schema or tuple(self.schema.to_json()))).next_seq - n
@@ -192,6 +207,7 @@ class Region:
             if batch is not None and batch in g.batches:
                 return g
             segments = [replace(s, id=g.next_id + i) for i, s in enumerate(new)]
+            g = self._given_back(g)
             return replace(
                 g,
                 segments=(*(s for s in g.segments if s.id not in replaces), *segments),
@@ -201,7 +217,9 @@ class Region:
                 schema=g.schema or tuple(self.schema.to_json()),
             )
 
-        return self.manifest.commit(change)
+        out = self.manifest.commit(change)
+        self.block = (0, 0)
+        return out
 
     def _write(self, log: DataFrame, path: str) -> None:
         key = self.schema.key
@@ -290,6 +308,9 @@ class Region:
         if self.config.sync == "never":
             self.flush()
         self.wal.close()
+        if self.block[0] < self.block[1]:
+            self.manifest.commit(self._given_back)
+            self.block = (0, 0)
 
     # -- reads ------------------------------------------------------------------------------------------------------
 
