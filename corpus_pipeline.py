@@ -46,8 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each document the token ids, their number, and the hash of the text that they decode to."""
     path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.encode_documents(docs, path).select("doc_id", "lang", "source", "ids")
-    return bpe.decode_documents(coded, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.roundtrip_documents(docs, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

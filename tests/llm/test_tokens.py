@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import ByteBPE, PairTree, decode_documents, encode_documents
+from tidelog.llm.bpe import ByteBPE, PairTree, decode_documents, encode_documents, roundtrip_documents
 from tidelog.llm.token_store import PerfectHash, WordEncoder, fingerprint, lookup, read_store, with_crc, write_store
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -64,6 +64,8 @@ def test_bpe_frames(spark, vocabulary, odd_texts):
     docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(odd_texts)], "doc_id long, text string, decoded string")
     out = decode_documents(encode_documents(docs, path), path).orderBy("doc_id").collect()
     assert [r.decoded for r in out] == [x or "" for x in odd_texts]
+    both = roundtrip_documents(docs, path).orderBy("doc_id").collect()
+    assert [(r.ids, r.decoded) for r in both] == [(r.ids, r.decoded) for r in out]
     assert encode_documents(docs.limit(0), path).count() == 0
 
 

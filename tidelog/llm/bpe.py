@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ship
+from tidelog.llm.common import release_memory, ship
 
 #: Fixed value: the public pattern that splits a text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,7 +78,7 @@ class PairTree:
 class ByteBPE:
     """A byte-level BPE vocabulary file of the tokenizers library (JSON)."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 200_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -297,39 +297,47 @@ def loaded(path: str) -> ByteBPE:
     return _loaded[path]
 
 
+IDS, TEXT = T.ArrayType(T.IntegerType(), False), T.StringType()
+
+
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids: the token ids of the whole text."""
-    return _mapped(docs, ids, T.ArrayType(T.IntegerType(), False), lambda: _encoder(path, docs.columns.index(text)))
+    at = docs.columns.index(text)
+    return _mapped(docs, {ids: IDS}, lambda part: [loaded(path).encode_many(part.column(at))])
 
 
 def decode_documents(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with decoded: the text of the ids, special tokens included; null ids decode to the empty text."""
-    return _mapped(docs, decoded, T.StringType(), lambda: _decoder(path, docs.columns.index(ids)))
+    at = docs.columns.index(ids)
+    return _mapped(docs, {decoded: TEXT}, lambda part: [loaded(path).decode_many(part.column(at))])
+
+
+def roundtrip_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with ids, as encode_documents gives them, and what they decode to, in one pass and one worker a task."""
+    at = docs.columns.index(text)
+
+    def both(part: pa.RecordBatch) -> list[pa.Array]:
+        own = loaded(path).encode_many(part.column(at))
+        return [own, loaded(path).decode_many(own)]
 
+    return _mapped(docs, {ids: IDS, decoded: TEXT}, both)
 
-def _mapped(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
+
+def _mapped(docs: DataFrame, new: dict[str, T.DataType], columns) -> DataFrame:
     ship(docs.sparkSession)
-    keep = [i for i, c in enumerate(docs.columns) if c != name]
-    schema = T.StructType([docs.schema.fields[i] for i in keep] + [T.StructField(name, kind, False)])
-    column = make()
+    keep = [i for i, c in enumerate(docs.columns) if c not in new]
+    schema = T.StructType([docs.schema.fields[i] for i in keep] + [T.StructField(n, t, False) for n, t in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), column(part)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *columns(part)], names=schema.names)
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
 
-def _encoder(path: str, at: int):
-    return lambda part: loaded(path).encode_many(part.column(at))
-
-
-def _decoder(path: str, at: int):
-    return lambda part: loaded(path).decode_many(part.column(at))
-
-
 def ids_text(ids: str = "ids"):
     """Column: decimal ids joined by commas."""
     return F.array_join(F.col(ids).cast("array<string>"), ",")

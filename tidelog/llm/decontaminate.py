@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import filled, ship, stored
+from tidelog.llm.common import filled, release_memory, ship, stored
 
 #: Each byte of a text: A-Z lowered, word bytes as they are, all others a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -223,6 +223,7 @@ def _matched(docs: DataFrame, part: list, window: int, text: str) -> DataFrame:
                     ],
                     names=schema.names,
                 )
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

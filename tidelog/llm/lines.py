@@ -8,7 +8,7 @@ is left as a sorted run of level 0; `fanout` runs of one level are compacted to
 Defined results: a null or empty text is one empty line. Rows are documents; rows of one key count one by one, and
 all rows of the keeper's key keep the line. A null key is below all others. Repeated rows, ties, empty tables and
 other columns (left as they are or left out, by function) need no care from the caller; columns may be called
-anything but _-names. Hashes are 128 bits wide.
+anything but _-names. Keys are numbers. Hashes are 128 bits wide.
 """
 
 from __future__ import annotations

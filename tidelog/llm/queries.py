@@ -22,11 +22,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.bpe import decode_documents, encode_documents, ids_text
+    from tidelog.llm.bpe import ids_text, roundtrip_documents
 
     path = vocabulary("byte_bpe_50k.json")
-    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode_documents(coded, path).select(
+    return roundtrip_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids_text().cast("binary"), 256).alias("ids_sha256"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, ship, stored
+from tidelog.llm.common import filled, release_memory, ship, stored
 
 #: Widths of the blocks of bits, from the lowest. Two fingerprints at distance 3 agree in two of the five at least.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 part = batch.slice(at, 512)
                 fp = np.array([fingerprint(x) for x in part.column(2).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["doc", "row", "fp"])
+        release_memory()
 
     return own.mapInArrow(run, f"doc {own.schema['doc'].dataType.simpleString()}, row long, fp long")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ship, stored
+from tidelog.llm.common import release_memory, ship, stored
 from tidelog.llm.decontaminate import words
 
 SPACE = 1 << 22
@@ -51,7 +51,7 @@ class ToxicityModel:
     bias: float = float("-inf")
     prior: float = 0.0
 
-    def scorer(self, cached: int = 500_000):
+    def scorer(self, cached: int = 200_000):
         """text -> score in 0..1."""
         weights, of = self.weights, {}
 
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 part = batch.slice(at, 256)
                 found = [[x for w in set(words(t)) for x in features(w)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["_positive", "_features"])
+        release_memory()
 
     rows = stored(sample.mapInArrow(featured, "_positive boolean, _features array<int>"), "features")
     n_p, n_u = rows.agg(F.sum(F.col("_positive").cast("int")), F.sum((~F.col("_positive")).cast("int"))).first()
@@ -165,5 +166,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", name: st
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array([of(x) for x in part.column(at).to_pylist()], pa.float64())], names=schema.names)
+        del of
+        release_memory()
 
     return docs.mapInArrow(run, schema)
