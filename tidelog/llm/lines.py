@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     each = sketch.select("_doc", "_row", F.explode("_lines").alias("_x")).select("_doc", "_row", "_x._pos", "_x._h1", "_x._h2")
     lost = each.join(settled, ["_h1", "_h2"]).where((F.col("_doc") < F.col("_keeper")) | (F.col("_doc").isNull() & F.col("_keeper").isNotNull()))
     gone = lost.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
-    gone = stored(gone, "gone").select(F.col("_doc").alias("_doc2"), F.col("_row").alias("_row2"), "_gone")
+    # by merge join at every size: documents that lose lines grow with the input
+    gone = stored(gone, "gone").hint("merge").select(F.col("_doc").alias("_doc2"), F.col("_row").alias("_row2"), "_gone")
     both = docs.withColumn("_row", row).join(gone, F.col(key).eqNullSafe(F.col("_doc2")) & (F.col("_row") == F.col("_row2")), "left")
     # the kept lines: the slices between dropped places
     lines, place = F.split(filled(text), "\n", -1), F.col("_gone")
