@@ -40,6 +40,17 @@ def test_bpe_equals_library(vocabulary, odd_texts):
     assert own.encode_many(pa.array([None, "a"]))[0].as_py() == []
 
 
+def test_bpe_runs_of_blanks_and_other_white_space(vocabulary):
+    path = vocabulary("byte_bpe_50k.json")
+    own, lib = ByteBPE(path, cached=50), library(path)
+    space = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    R = random.Random(7)
+    parts = [" ", " ", "\xa0", "\xa0", "\n", "\t", "\u3000", "a", "b.", "\xe9", "<|endoftext|>", "'s", "1"]
+    texts = ["a \xa0 \xa0 b", "a \xa0 \xa0 \xa0 \xa0 b", "\xa0 \xa0", " \xa0 ", *(f"a{c} b {c} {c}c" for c in space), *("".join(R.choice(parts) for _ in range(R.randint(0, 14))) for _ in range(3000))]
+    for text, ids in zip(texts, own.encode_many(pa.array(texts)).to_pylist(), strict=True):
+        assert ids == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_pieces_together_or_alone(vocabulary):
     own = ByteBPE(vocabulary("byte_bpe_50k.json"))
     R = random.Random(3)

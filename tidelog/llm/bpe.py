@@ -3,9 +3,9 @@
 A piece's adjacent pairs are the leaves of a segment tree that holds minima of (rank, place). The root is the leftmost
 pair of lowest rank; a merge changes three leaves, each in logarithmic time, until no pair can be merged.
 
-Documents are cut before runs of blanks and each cut piece is remembered, in bounded caches, as texts repeat most of
-their words. A cut there never lies inside a token: a token of the splitting pattern holds no blank after another
-character, and a run of blanks stays with what follows it.
+Documents are cut before blanks that follow no other white space and each cut piece is remembered, in bounded caches, as
+texts repeat most of their words. A cut there never lies inside a token: a token of the splitting pattern that holds a
+blank after another character is white space throughout, and a run of white space is never cut.
 
 Defined results: a null text counts as empty and has no ids; repeated rows and ties are encoded row by row; texts of any
 length are encoded whole; an empty table gives no rows; other columns are kept, and a column named as an output is replaced.
@@ -28,6 +28,8 @@ from tidelog.llm.common import release_memory, ship
 
 #: Fixed value: the public pattern that splits a text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A blank after other white space (all that re's \s takes), in Arrow's syntax.
+BLANK_IN_RUN = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 NONE = 1 << 62
 
 
@@ -110,7 +112,7 @@ class ByteBPE:
         self.plain = re.compile(r"( ?[A-Za-z]+)([.,;:!?]?)").fullmatch
         self.pieces = regex.compile(PIECES)
         self.at_special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cuts = re.compile(r" *[^ ]+| +")
+        self.cuts = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
         self.cached = cached
         self.of_piece: dict[str, bytes] = {}
         self.of_cut: dict[str, bytes] = {}
@@ -245,7 +247,7 @@ class ByteBPE:
     def encode_many(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text; null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        runs = pc.match_substring(texts, "  ")  # runs of blanks: these texts are cut one by one
+        runs = pc.match_substring_regex(texts, BLANK_IN_RUN)  # these texts are cut one by one
         split = pc.split_pattern(pc.if_else(runs, "", texts), " ")
         coded = split.flatten().dictionary_encode()
         at, number = coded.indices.to_numpy().astype(np.int64), split.value_lengths().to_numpy()
