@@ -89,6 +89,16 @@ def test_words_equal_library(vocabulary, odd_texts):
         assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_with_capitals_before_marks(vocabulary):
+    path = vocabulary("word_bpe_49k.json")
+    own, lib = WordEncoder(path, cached=50), library(path)
+    marks = [chr(c) for c in [*range(0x300, 0x370), 0x5B0, 0x1AB0, 0x1DC0, 0x20D0, 0x2019, 0x3099, 0xFE20]]
+    texts = [f"Plain {a}{m}{n} Words {a}X{m}" for a in "AHIJTWYZ" for m in marks for n in ("", "\u030c")]
+    ids, number = own.encode(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(number)[:-1]), strict=True):
+        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_perfect_hash():
     R = random.Random(1)
     for n in (0, 1, 2, 1000, 20_000):

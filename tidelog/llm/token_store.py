@@ -125,12 +125,15 @@ class WordEncoder:
 
     The vocabulary's pattern drops white space and lets no token reach over it, so a text's ids are those of its words
     between ASCII white space, one after the other. A-Z may be lowered first, as the vocabulary's normaliser lowers them,
-    but not where a special token could come about. A word of plain letters and marks (which the normaliser leaves as they
+    but not where a special token could come about, nor before a combining mark, as the normaliser composes the two before
+    it lowers and some pairs compose in lower case only. A word of plain letters and marks (which the normaliser leaves as they
     are but for case) goes to the library's model in runs of either, as the vocabulary's pattern cuts it; any other word
     goes through the library's whole pipeline.
     """
 
     PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ.,;:!?()&%$#*\"/+=_-]+")
+    #: A capital before what may be a combining mark, in Arrow's syntax: all marks are from U+0300 on, none in U+2000-206F.
+    MARKED = r"[A-Z][^\x00-\x{2ff}\x{2000}-\x{206f}]"
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
     def __init__(self, path: str, cached: int = 400_000):
@@ -171,8 +174,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        special = pc.match_substring(texts, "<|")
-        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.MARKED))
+        split = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         own = list(map(self.of.get, words))
