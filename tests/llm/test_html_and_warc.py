@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.llm import queries
 from tidelog.llm.html import extract, rendered
 from tidelog.llm.warc import page_of, parsed, read_warc, record, write_archive
 
@@ -115,6 +116,23 @@ def test_pushdown_is_planned(spark, tmp_path):
     assert "Filter" not in plan.replace("RuntimeFilters", "")
 
 
+def test_damage_is_seen(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "u", "sound page"), (2, "u", "damaged page"), (3, "u", "same"), (4, "u", "same"), (5, "u", None)], "page_id long, url string, html string")
+    docs.write.parquet(str(tmp_path / "pages.parquet"))
+
+    def damaged(pages):
+        home = write_archive(pages, str(tmp_path / "w"))
+        for at in (tmp_path / "w").glob("*.warc"):
+            at.write_bytes(at.read_bytes().replace(b"damaged page", b"damaged pogo"))
+        return home
+
+    monkeypatch.setattr("tidelog.llm.warc.write_archive", damaged)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op10_warc(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (10, sha(b"sound page"), "response", None), 2: (12, sha(b"damaged pogo"), "response", None), 3: (4, sha(b"same"), "revisit", 4), 4: (4, sha(b"same"), "response", None), 5: (0, sha(b""), "response", None),
+    }
+
+
 def test_empty_archive_and_headers(spark, tmp_path):
     home = write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert read_warc(spark, home).count() == 0

@@ -88,10 +88,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.warc import page_of, read_warc, write_archive
+    from tidelog.llm.warc import page_of, read_archive, write_archive
 
-    path = write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    found = read_warc(spark, path, where=F.col("record_type").isin("response", "revisit"), payload=False)
+    found = read_archive(spark, write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
 
 

@@ -333,6 +333,19 @@ def read_warc(spark: SparkSession, path: str, *, where: Column | None = None, pa
     return found if where is None else found.where(where)
 
 
+def sha1_base32(payload: str) -> Column:
+    """digest() of a binary column."""
+    code = F.sha1(payload)
+    parts = [F.lpad(F.conv(F.substring(code, at, 5), 16, 32), 4, "0") for at in range(1, 41, 5)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Responses and revisits under path without payload: payload_bytes and payload_digest of a response are those of the payload read back, of a revisit those its headers tell."""
+    read = read_warc(spark, path, where=F.col("record_type") == "response").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32("payload")})
+    return read.unionByName(read_warc(spark, path, where=F.col("record_type") == "revisit", payload=False)).drop("payload")
+
+
 def write_archive(pages: DataFrame, path: str | None = None, *, key: str = "page_id", uri: str = "url", body: str = "html", least: int = 0, **options) -> str:
     """Writes a record for each row and returns the archive's path. Of equal bodies of at least `least` bytes, the largest key's is the response and others revisit it."""
     spark = pages.sparkSession
