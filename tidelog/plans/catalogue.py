@@ -92,7 +92,7 @@ def lsm_time_reversed_between(spark, d):
 def lsm_contradiction(spark, d):
     text = "day > timestamp_ntz'2024-01-20' and day < timestamp_ntz'2024-01-10'"
     log = event_log(spark, d)
-    if extract_time_range(spark, text, "day").is_empty:
+    if extract_time_range(spark, text, "day", "timestamp_ntz").is_empty:
         log = log.limit(0)
     return merge.live(log, KEY).where(text).select(*KEY, "value")
 

@@ -2,19 +2,25 @@
 
 Writes of single rows wait in a small buffer (with a write-ahead log); DataFrames go to Parquet at once. A commit is a new manifest
 generation, so a batch is seen as a whole or not at all, and a reader keeps the generation it began with. Segments are laid out by time
-window and sorted by key, so conditions on time and tags prune segments, then row groups. A lost executor costs nothing but
+time window and sorted by key, so conditions on time and tags prune segments, then row groups. A lost executor costs nothing but
 its tasks: files that no generation lists are not part of the table.
+
+Several regions, in one process or many, may write to one folder. Each logs its buffer's operations in frames of its own; a region that opens takes
+over whatever frames no generation names as flushed. Should their writer live on and flush them as well, they are in segments twice with the same
+seqs, which changes nothing that is seen. A region's methods may be called from several threads: a reader sees the generation and the buffer as of one
+moment, while a flush writes.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +28,12 @@ from tidelog.functions import timerange
 from tidelog.functions.timerange import TimeRange, as_long, extract_time_range, window_id, within
 from tidelog.operators import compaction, merge
 from tidelog.schema import DELETE, OP, PUT, SEQ, TableSchema
+from tidelog.sources.buffer import Buffer, Version
 from tidelog.sources.manifest import Generation, Manifest, Segment, schema_of
 from tidelog.sources.storage import Storage
-from tidelog.sources.wal import Wal
+from tidelog.sources.wal import Wal, torn
 
-ROW_BYTES = 17  # what a buffered row counts for beside its value
+ORPHAN_AGE = 86_400.0  # seconds after which files that no generation lists count as left behind
 
 
 @dataclass
@@ -58,16 +65,27 @@ class Region:
         self.schema = schema or kept or TableSchema.default()
         if found is None:
             self._rebuild()
-        self.buffer: list[tuple[int, int, dict]] = []  # (seq, op, row)
-        self.buffer_bytes = 0
+        self._lock, self._flushing = threading.RLock(), threading.Lock()
+        self.buffer, self.frozen = Buffer(self.schema.key), Buffer(self.schema.key)  # frozen: what a flush is writing
         self.block = (0, 0)  # seqs that are reserved for single writes: the next one, and the first beyond
         self.wal = Wal(self.storage, self.config.sync)
-        self.wal.recover(self._hold, after=max([0, *(s.max_seq for s in self.current().segments)]))
-        if self.buffer:
-            last = self.buffer[-1][0]
-            self.buffer.sort(key=lambda x: x[0])
-            if self.current().next_seq <= last:
-                self.manifest.commit(lambda g: replace(g, next_seq=max(g.next_seq, self.buffer[-1][0] + 1)))
+        self._recover()
+
+    def _recover(self) -> None:
+        """Takes over the frames of the log that no generation names as flushed, and deletes the others."""
+        frames = list(self.wal.frames())  # before the generation is read: what is flushed in between is named there
+        flushed, last = set(self.current().flushed), 0
+        self.wal.drop(name for name, _ in frames if name in flushed)
+        for name, operations in frames:
+            if operations is None:
+                torn(name)
+            elif name not in flushed:
+                self.wal.written.append(name)
+                for x in sorted(operations, key=lambda x: x[0]):
+                    self.buffer.add(x)
+                    last = max(last, x[0])
+        if last and self.current().next_seq <= last:
+            self.manifest.commit(lambda g: replace(g, next_seq=max(g.next_seq, last + 1)))
 
     # -- state ------------------------------------------------------------------------------------------------------
 
@@ -84,7 +102,7 @@ class Region:
 
     @property
     def estimated_memory(self) -> int:
-        return self.buffer_bytes
+        return self.buffer.bytes + self.frozen.bytes
 
     def set_flush_threshold(self, rows: int) -> None:
         self.config.flush_rows = rows
@@ -117,28 +135,28 @@ class Region:
 
     def _one(self, key: dict, value: dict, op: int) -> dict | None:
         own = self.schema.key_of(**key)
-        old = max((x for x in self.buffer if all(x[2][k] == own[k] for k in own)), key=lambda x: x[0], default=None)
-        self._take([(op, own | value)])
+        with self._lock:
+            old = self.buffer.get(own)
+            full = self._take([(op, own | value)])
+        if full:
+            self.flush()
         return None if old is None or old[1] == DELETE else {f: old[2][f] for f in self.schema.fields}
 
     def write_batch(self, entries: list[tuple[dict, dict | None]]) -> None:
         """(key, value or None for a delete) in order, in one frame; of one key the later entry wins."""
-        self._take([(DELETE if v is None else PUT, self.schema.key_of(**k) | self.schema.value_of(**(v or {}))) for k, v in entries])
-
-    def _take(self, rows: list[tuple[int, dict]]) -> None:
-        if not rows:
-            return
-        base = self._seqs(len(rows))
-        taken = [(base + i, op, row) for i, (op, row) in enumerate(rows)]
-        self.wal.append(taken)
-        for x in taken:
-            self._hold(x)
-        if len(self.buffer) >= self.config.flush_rows or self.buffer_bytes > self.config.flush_bytes:
+        if self._take([(DELETE if v is None else PUT, self.schema.key_of(**k) | self.schema.value_of(**(v or {}))) for k, v in entries]):
             self.flush()
 
-    def _hold(self, x: tuple[int, int, dict]) -> None:
-        self.buffer.append(x)
-        self.buffer_bytes += ROW_BYTES + sum(len(v) if isinstance(v, (bytes, bytearray, str)) else 8 for v in x[2].values() if v is not None)
+    def _take(self, rows: list[tuple[int, dict]]) -> bool:
+        """Logs and buffers rows, all at once to readers; whether the buffer is full."""
+        with self._lock:
+            if rows:
+                base = self._seqs(len(rows))
+                taken = [(base + i, op, row) for i, (op, row) in enumerate(rows)]
+                self.wal.append(taken)
+                for x in taken:
+                    self.buffer.add(x)
+            return len(self.buffer) >= self.config.flush_rows or self.buffer.bytes > self.config.flush_bytes
 
     def _seqs(self, n: int) -> int:
         """The first of n seqs for single writes, out of a block that is reserved by one commit; what is left of it goes back on the next flush."""
@@ -173,14 +191,24 @@ class Region:
         missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in self.schema.key])
         log = log.withColumn(self.schema.tags[0], F.when(missing, F.raise_error(F.lit("tags and time index must not be null")).cast(log.schema[self.schema.tags[0]].dataType)).otherwise(F.col(self.schema.tags[0])))
         own = f"{self.path}/data/{uuid.uuid4().hex}"
+        staged = f"_staging/{uuid.uuid4().hex}"
         if seq is None:
-            log = self._numbered(log, [f"__o{i}" for i in range(len(order_by or []))])
-        return self._commit_log(log.select(*self.schema.names, SEQ, OP), own, batch=batch)
+            log = self._numbered(log, [f"__o{i}" for i in range(len(order_by or []))], self.storage.path(staged))
+        out = self._commit_log(log.select(*self.schema.names, SEQ, OP), own, batch=batch)
+        if seq is None:
+            self.storage.delete(staged)
+        return self._settled(out)
 
-    def _numbered(self, log: DataFrame, order: list[str]) -> DataFrame:
+    def _settled(self, g: Generation) -> Generation:
+        """The generation after the compaction that a commit calls for, if any."""
+        if self.config.auto_compact and compaction.pick_window(list(g.segments), self.config.compact_threshold):
+            self.compact()
+            return self.current()
+        return g
+
+    def _numbered(self, log: DataFrame, order: list[str], staged: str) -> DataFrame:
         """log with contiguous seqs: rows are numbered within their partition, partitions are put one after the other by their counts."""
         dealt = log.repartitionByRange(*order) if order else log
-        staged = f"{self.path}/_staging/{uuid.uuid4().hex}"
         place = F.monotonically_increasing_id().alias("__m")
         numbered = (dealt.sortWithinPartitions(*order) if order else dealt).select("*", F.spark_partition_id().alias("__p"), place)
         numbered.write.parquet(staged)
@@ -196,16 +224,20 @@ class Region:
         # within a partition the ids of rows are consecutive
         return kept.join(F.broadcast(first), "__p").withColumn(SEQ, F.col("__base") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
 
-    def _commit_log(self, log: DataFrame, path: str, batch: str | None = None, replaces: tuple[int, ...] = ()) -> Generation:
-        """Writes log rows as segments, one for each window, and lists them."""
+    def _commit_log(self, log: DataFrame, path: str, batch: str | None = None, replaces: tuple[int, ...] = (), frames: list[str] | None = None) -> Generation:
+        """Writes log rows as segments, one for each window, and lists them. frames: those of the log whose operations they are."""
         self._write(log, path)
         new = self._measured(path)
+        left = set(self.storage.names(Wal.FOLDER)) if frames is not None else set()
 
         def change(g: Generation) -> Generation:
             if replaces and not set(replaces) <= {s.id for s in g.segments}:
                 return g  # another compaction was first
             if batch is not None and batch in g.batches:
                 return g
+            there = set(self.storage.names(path.removeprefix(f"{self.path}/")))
+            if gone := [s.path for s in new if s.path.rpartition("/")[2] not in there]:
+                raise FileNotFoundError(f"files of this commit were deleted before it was made: {gone[:3]}")
             segments = [replace(s, id=g.next_id + i) for i, s in enumerate(new)]
             g = self._given_back(g)
             return replace(
@@ -215,10 +247,14 @@ class Region:
                 next_seq=max([g.next_seq, *(s.max_seq + 1 for s in new)]),
                 batches=g.batches if batch is None else (*(b for b in g.batches if b.rpartition(":")[0] != batch.rpartition(":")[0]), batch),
                 schema=g.schema or tuple(self.schema.to_json()),
+                flushed=g.flushed if frames is None else (*(f for f in g.flushed if f.rpartition("/")[2] in left), *frames),
             )
 
-        out = self.manifest.commit(change)
-        self.block = (0, 0)
+        with self._lock:
+            out = self.manifest.commit(change)
+            self.block = (0, 0)
+            if frames is not None:
+                self.frozen = Buffer(self.schema.key)
         return out
 
     def _write(self, log: DataFrame, path: str) -> None:
@@ -235,32 +271,41 @@ class Region:
         names = [n for n in self.storage.names(path.removeprefix(f"{self.path}/")) if n.startswith("__window=")]
         if not names:
             return []
-        t, tag = as_long(self.schema.time, self.time_kind), F.concat_ws("|", *[F.col(c).cast("string") for c in self.schema.tags])
+        t, tag = as_long(self.schema.time, self.time_kind), self._key_text([F.col(c) for c in self.schema.tags])
         log = self.spark.read.schema(T.StructType([*self.schema.log_struct.fields, T.StructField("__window", T.LongType())])).parquet(path)
         stats = log.groupBy("__window").agg(F.min(t), F.max(t), F.min(SEQ), F.max(SEQ), F.count(F.lit(1)), F.sum(F.col(OP).cast("long")), F.min(tag), F.max(tag)).orderBy("__window").collect()
         return [Segment(0, f"{path}/__window={r[0]}", r[0], *[int(x) for x in r[1:7]], r[7] or "", r[8] or "") for r in stats]
 
+    def _key_text(self, tags: list[Column]) -> Column:
+        """A key's tags as the text by which segments know their least and largest."""
+        kinds = {c.name: c.kind for c in self.schema.columns}
+        return F.concat_ws("|", *[F.hex(x) if isinstance(kinds[n], T.BinaryType) else x.cast("string") for n, x in zip(self.schema.tags, tags, strict=True)])
+
     # -- maintenance ------------------------------------------------------------------------------------------------
 
     def flush(self) -> Generation | None:
-        """Commits the buffer; of each key only its newest version there."""
-        if not self.buffer:
-            return None
-        newest: dict[tuple, tuple[int, int, dict]] = {}
-        for x in self.buffer:
-            at = tuple(bytes(v) if isinstance(v, bytearray) else v for v in (x[2][k] for k in self.schema.key))
-            if at not in newest or x[0] > newest[at][0]:
-                newest[at] = x
-        out = self._commit_log(self._frame(list(newest.values())), f"{self.path}/data/{uuid.uuid4().hex}")
-        self.wal.drop()
-        self.buffer, self.buffer_bytes = [], 0
+        """Commits the buffer; of each key only its newest version there. Writes go on meanwhile, into a new buffer."""
+        with self._flushing:
+            with self._lock:
+                if not len(self.buffer):
+                    return None
+                self.frozen, self.buffer = self.buffer, Buffer(self.schema.key)
+                logged = self.wal.rotate()
+            try:
+                out = self._commit_log(self._frame(list(self.frozen.newest.values())), f"{self.path}/data/{uuid.uuid4().hex}", frames=logged[0])
+            except BaseException:
+                with self._lock:
+                    self.buffer, self.frozen = Buffer(self.schema.key, self.frozen.rows + self.buffer.rows), Buffer(self.schema.key)
+                    self.wal.restore(logged)
+                raise
+            self.wal.drop(logged[0])
         if self.config.auto_compact and len(out.segments) >= self.config.compact_threshold:
             self.compact()
         return out
 
     flush_barrier = flush
 
-    def _frame(self, rows: list[tuple[int, int, dict]]) -> DataFrame:
+    def _frame(self, rows: list[Version]) -> DataFrame:
         return self.spark.createDataFrame([(*(r[c] for c in self.schema.names), s, op) for s, op, r in rows], self.schema.log_struct)
 
     def compact(self) -> bool:
@@ -280,21 +325,36 @@ class Region:
             n += 1
         return n
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes what only older generations than the last `keep` list, and what none lists; the number of folders deleted."""
+    def vacuum(self, keep: int = 1, orphan_age: float = ORPHAN_AGE) -> int:
+        """Deletes what only older generations than the last `keep` list; the number of folders deleted.
+
+        What no generation lists may belong to a commit that is under way: it is deleted only when it is older than orphan_age seconds. So is staged data,
+        and so are torn frames.
+        """
         versions = self.manifest.versions()
-        wanted = {s.path for v in versions[-keep:] for s in self.manifest.load(v).segments}
+        listed = {v: {s.path for s in self.manifest.load(v).segments} for v in versions}
+        wanted = {x for v in versions[-keep:] for x in listed[v]}
+        once = {x for own in listed.values() for x in own} - wanted
         n = 0
         for name in self.storage.names("data"):
-            for window in self.storage.names(f"data/{name}"):
-                if f"{self.path}/data/{name}/{window}" not in wanted and window.startswith("__window="):
-                    self.storage.delete(f"data/{name}/{window}")
-                    n += 1
-            if not any(w.startswith("__window=") for w in self.storage.names(f"data/{name}")):
-                self.storage.delete(f"data/{name}")
+            folder = f"data/{name}"
+            windows = [w for w in self.storage.names(folder) if w.startswith("__window=")]
+            paths = {w: f"{self.path}/{folder}/{w}" for w in windows}
+            old = not any(x in wanted or x in once for x in paths.values()) and self.storage.age(folder) > orphan_age
+            gone = [w for w in windows if paths[w] in once or old or paths[w] not in wanted and self.storage.age(f"{folder}/{w}") > orphan_age]
+            for w in gone:
+                self.storage.delete(f"{folder}/{w}")
+            n += len(gone)
+            if len(gone) == len(windows) and (gone or old):
+                self.storage.delete(folder)
         for v in versions[:-keep]:
             self.storage.delete(f"{Manifest.FOLDER}/v{v:020d}.json")
-        self.storage.delete("_staging")
+        for name in self.storage.names("_staging"):
+            if self.storage.age(f"_staging/{name}") > orphan_age:
+                self.storage.delete(f"_staging/{name}")
+        for name, operations in self.wal.frames():
+            if operations is None and self.storage.age(name) > orphan_age:
+                self.storage.delete(name)
         return n
 
     def _rebuild(self) -> None:
@@ -307,10 +367,11 @@ class Region:
         """Makes the buffer durable by its log; nothing is flushed to segments unless the log is off."""
         if self.config.sync == "never":
             self.flush()
-        self.wal.close()
-        if self.block[0] < self.block[1]:
-            self.manifest.commit(self._given_back)
-            self.block = (0, 0)
+        with self._lock:
+            self.wal.close()
+            if self.block[0] < self.block[1]:
+                self.manifest.commit(self._given_back)
+                self.block = (0, 0)
 
     # -- reads ------------------------------------------------------------------------------------------------------
 
@@ -319,21 +380,26 @@ class Region:
             return self.spark.createDataFrame([], self.schema.log_struct)
         return self.spark.read.schema(self.schema.log_struct).parquet(*[s.path for s in segments])
 
+    def _snapshot(self) -> tuple[Generation, list[Version]]:
+        """The latest generation and all that waits, as of one moment."""
+        with self._lock:
+            return self.current(), [*self.buffer.rows, *self.frozen.rows]
+
     def log(self, span: TimeRange | None = None, *, version: int | None = None, ttl: bool = False) -> DataFrame:
         """All versions in a generation (the latest, with the buffer, by default) whose time is in the range."""
         span = span or TimeRange()
         if ttl and (cutoff := self.ttl_cutoff()) is not None:
             span = span & TimeRange(lo=cutoff)
-        g = self.current() if version is None else self.manifest.load(version)
+        g, held = self._snapshot() if version is None else (self.manifest.load(version), [])
         rows = self._read(g.pruned(span))
-        if version is None and self.buffer and not span.is_empty:
-            rows = rows.unionByName(self._frame(self.buffer))
+        if held and not span.is_empty:
+            rows = rows.unionByName(self._frame(held))
         condition = within(self.schema.time, self.time_kind, span)
         return rows.where(F.lit(False)) if span.is_empty else rows if condition is None else rows.where(condition)
 
     def scan(self, where: str | None = None, *, columns: list[str] | None = None, limit: int | None = None, version: int | None = None) -> DataFrame:
         """The visible rows. Time bounds in `where` prune segments; all of `where` is applied to the merged rows as well."""
-        span = extract_time_range(self.spark, where, self.schema.time) if where else TimeRange()
+        span = extract_time_range(self.spark, where, self.schema.time, self.time_kind) if where else TimeRange()
         rows = merge.live(self.log(span, version=version, ttl=True), self.schema.key)
         if where:
             rows = rows.where(where)
@@ -342,17 +408,19 @@ class Region:
         return rows if limit is None else rows.limit(limit)
 
     def get(self, key: dict) -> dict | None:
-        """The visible value of a key."""
+        """The visible value of a key. Reads the segments whose times and tags reach over it."""
         own = self.schema.key_of(**key)
-        held = [x for x in self.buffer if all(x[2][k] == own[k] for k in own)]
+        with self._lock:
+            g, held = self.current(), [x for x in (self.buffer.get(own), self.frozen.get(own)) if x is not None]
         kinds = {c.name: c.kind for c in self.schema.columns}
-        t = self.spark.range(1).select(as_long(F.lit(own[self.schema.time]).cast(kinds[self.schema.time]), self.time_kind)).first()[0] if self.time_kind != "long" else own[self.schema.time]
+        wanted = {c: F.lit(own[c]).cast(kinds[c]) for c in self.schema.key}
+        t, tag = self.spark.range(1).select(as_long(wanted[self.schema.time], self.time_kind), self._key_text([wanted[c] for c in self.schema.tags])).first()
         cutoff = self.ttl_cutoff()
         if cutoff is not None and t < cutoff:
             return None
-        rows = self._read(self.current().pruned(TimeRange(t, t)))
-        for c in self.schema.key:
-            rows = rows.where(F.col(c) == F.lit(own[c]).cast(kinds[c]))
+        rows = self._read([s for s in g.pruned(TimeRange(t, t)) if s.holds(tag)])
+        for c, x in wanted.items():
+            rows = rows.where(F.col(c) == x)
         found = [(r[SEQ], r[OP], r.asDict()) for r in rows.orderBy(F.col(SEQ).desc()).limit(1).collect()]
         best = max([*found, *held], key=lambda x: x[0], default=None)
         return None if best is None or best[1] == DELETE else {f: bytes(v) if isinstance(v := best[2][f], bytearray) else v for f in self.schema.fields}
@@ -368,15 +436,17 @@ class Region:
 
     def __len__(self) -> int:
         """Versions held, overwritten ones and deletes included."""
-        return sum(s.rows for s in self.current().segments) + len(self.buffer)
+        g, held = self._snapshot()
+        return sum(s.rows for s in g.segments) + len(held)
 
     def live_count(self) -> int:
         return self.scan().count()
 
     def sources(self, span: TimeRange | None = None) -> list[DataFrame]:
         """The layers of a snapshot, newest first: the buffer, then the segments that the range leaves."""
-        held = [self._frame(self.buffer)] if self.buffer else []
-        return held + [self._read([s]) for s in sorted(self.current().pruned(span or TimeRange()), key=lambda s: -s.id)]
+        with self._lock:
+            g, held = self.current(), [self._frame(x.rows) for x in (self.buffer, self.frozen) if len(x)]
+        return held + [self._read([s]) for s in sorted(g.pruned(span or TimeRange()), key=lambda s: -s.id)]
 
     def register(self, name: str, version: int | None = None) -> DataFrame:
         """A temporary view of the visible rows; the retention cutoff is that of now."""

@@ -1,14 +1,23 @@
-"""Small files in any file system that Spark reads: written under a new name and moved into place, never over another."""
+"""Small files in a file system that Spark reads: written under a new name and moved into place, never over another.
+
+That a file is never moved over another holds for local folders and for file systems whose rename is atomic and fails where there is
+a target, as HDFS's does. Object stores have no such rename; they are refused where commits depend on it (`needs_exclusive`).
+"""
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+#: Schemes of stores that copy where they should rename.
+OBJECT_STORES = frozenset("s3 s3a s3n gs oss cos cosn swift wasb wasbs obs".split())
+
+
 class Storage:
     """Files below one folder, by paths relative to it."""
 
@@ -19,6 +28,11 @@ class Storage:
         self.conf = spark._jsparkSession.sessionState().newHadoopConf()
         self.fs = self.root.getFileSystem(self.conf)
 
+    def needs_exclusive(self) -> None:
+        """Raises where create() can't keep two writers apart."""
+        if (scheme := self.fs.getUri().getScheme()) in OBJECT_STORES:
+            raise ValueError(f"{scheme}: commits need a file system with an atomic rename, such as HDFS")
+
     def path(self, name: str) -> str:
         return f"{self.home}/{name}"
 
@@ -34,6 +48,14 @@ class Storage:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._at(folder)))
 
+    def age(self, name: str) -> float:
+        """Seconds since a file, or any entry right below a folder, was last changed; 0 for what is not there."""
+        if not self.exists(name):
+            return 0.0
+        own = self.fs.getFileStatus(self._at(name))
+        times = [own.getModificationTime(), *([x.getModificationTime() for x in self.fs.listStatus(self._at(name))] if own.isDirectory() else [])]
+        return time.time() - max(times) / 1000
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self._at(name))
         try:
@@ -84,4 +106,3 @@ class Storage:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)
-
