@@ -43,10 +43,25 @@ def test_contract(spark):
     assert __spark_entry__.entry(spark).columns == ["user_id", "day", "value", "event_type", "props"]
 
 
-def test_without_the_llm_folders(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+@pytest.mark.parametrize("also", ["", "corpus_pipeline.py"])
+def test_without_the_llm_folders(tmp_path, also):
+    """Only the two folders are gone, and then the pipeline as well; what caches leave behind of a folder counts for nothing."""
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", *[also] * bool(also)))
+    (tmp_path / "r" / "tidelog" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lsm_full_scan' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": str(tmp_path / "r")}, check=True)
+    env = os.environ | {"PYTHONPATH": str(tmp_path / "r")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env, check=True)
+    if not also:
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_parts.py", "tests/test_entry.py", "-k", "not without and not same_as_sql or lsm_full_scan"], cwd=tmp_path / "r", env=env, check=True)
+
+
+def test_a_broken_import_is_no_missing_folder(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "llm"))
+    (tmp_path / "r" / "tidelog" / "llm").mkdir()
+    (tmp_path / "r" / "tidelog" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "r" / "tidelog" / "llm" / "queries.py").write_text("import nowhere_to_be_found")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": str(tmp_path / "r")}, capture_output=True, text=True)
+    assert done.returncode and "nowhere_to_be_found" in done.stderr
 
 
 def test_nothing_else_imports_llm():
