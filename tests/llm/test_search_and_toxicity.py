@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm.topk import Search, exact_top_k, far_apart
+from tidelog.llm.topk import Search, _seeded, distances, exact_top_k, far_apart
 from tidelog.llm.toxicity import ToxicityModel, features, fit_nnpu, held_out, score, train
 
 
@@ -20,7 +20,7 @@ def by_hand(rows, is_query, k, scale=1024):
     return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["random", "ties", "clusters", "huge"])
+@pytest.mark.parametrize("kind", ["random", "ties", "clusters", "huge", "overflow"])
 def test_top_k(spark, kind):
     R = random.Random(len(kind))
     if kind == "random":
@@ -30,6 +30,8 @@ def test_top_k(spark, kind):
     elif kind == "clusters":
         centres = [[R.gauss(0, 1) for _ in range(8)] for _ in range(5)]
         rows = [(i, [x + R.gauss(0, 0.01) for x in R.choice(centres)]) for i in range(500)]
+    elif kind == "overflow":
+        rows = [(i, [R.choice([1e160, -1e160, 1e300, 2.0, 0.0]) for _ in range(3)]) for i in range(40)] + [((1 << 63) - 1, [1e160, 1.0, 1.0])]
     else:
         rows = [(i, [R.choice([1e13, -1e13, 3.0]) for _ in range(4)]) for i in range(60)]
     width = len(rows[0][1])
@@ -48,11 +50,30 @@ def test_limits_hold():
     x, q = np.floor(G.normal(0, 200, (300, 12))), np.floor(G.normal(0, 200, (20, 12)))
     pivots = far_apart(x[:50], 6)
     s = Search(np.arange(20), q, pivots, np.full(20, -np.inf), 3)
-    from tidelog.llm.topk import distances
-
     assert (s.limits(x, distances(x, pivots)) >= q @ x.T).all()
 
 
+def test_pivots_eliminate():
+    """In clusters nearly all pairs go by their limits, most by whole blocks; without structure none do. Results are those of the full product either way."""
+    G, k = np.random.default_rng(4), 5
+    centres = G.normal(0, 1, (40, 32))
+    near = np.floor(1024 * (centres[G.integers(0, 40, 6000)] + G.normal(0, 0.02, (6000, 32))))
+    for x, most in ((near, 0.05), (np.floor(1024 * G.normal(0, 1, (2000, 64))), 1.0)):
+        pivots, order = far_apart(x[:1000], 64), np.arange(len(x))
+        table = distances(x, pivots)
+        order = np.argsort(table.argmin(1), kind="stable")
+        q = np.arange(0, len(x), 100)
+        s = Search(q, x[q], pivots, _seeded(q, x[q], (np.arange(1000), x[:1000]), k), k)
+        for at in range(0, len(x), 256):
+            some = np.sort(order[at : at + 256])
+            s.block(some, x[some], table[some])
+        assert s.pairs == len(q) * len(x) and s.evaluated <= most * s.pairs
+        scores = x[q] @ x.T
+        scores[np.arange(len(q)), q] = -np.inf
+        want = np.array([np.lexsort((np.arange(len(x)), -row))[:k] for row in scores])
+        assert (s.best == want).all()
+
+
 def crowd(n, seed=1):
     R = random.Random(seed)
     say = lambda k: [R.choice(["alpha", "beta", "gamma", "delta", "omega", "river", "stone"]) + str(R.randrange(40)) for _ in range(k)]

@@ -1,40 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, code shipping, safe column picks."""
+"""What the operators of this subpackage share: tables in the shared folder, code shipping, safe column picks."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import scratch
+
 _shipped: set[str] = set()
-_local: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    global _local
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = at.get() if at.isDefined() else None
-    if not found:
-        if _local is None:
-            _local = tempfile.mkdtemp(prefix="tidelog-")
-            atexit.register(shutil.rmtree, _local, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_local)
-        found = _local
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
