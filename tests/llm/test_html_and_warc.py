@@ -1,6 +1,7 @@
 """op4 by pages with known layout and a plain parser; op10 by round trips."""
 
 import base64
+import gzip
 import hashlib
 import re
 from html.parser import HTMLParser
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import queries
 from tidelog.llm.html import extract, rendered
-from tidelog.llm.warc import page_of, parsed, read_warc, record, write_archive
+from tidelog.llm.warc import page_of, parsed, read_archive, read_warc, record, write_archive
 
 LAYOUT = {
     "<p>a  b<p>c<br>d<div>e</div>f": "a b\n\nc\nd\n\ne\nf",
@@ -82,12 +83,12 @@ def sha(x):
     return base64.b32encode(hashlib.sha1(x).digest()).decode()
 
 
-@pytest.mark.parametrize("gzip", ["false", "true"])
-def test_archive(spark, tmp_path, gzip):
+@pytest.mark.parametrize("packed", ["false", "true"])
+def test_archive(spark, tmp_path, packed):
     odd = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (None, None, "<p>x</p>"), (None, "http://n", None), (3, "http://c", "y" * 200_000), (4, "http://d", odd), (5, "http://é", ""), (6, "u", "é" * 70_000), (3, "http://c2", "y" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).repartition(2)
-    home = write_archive(pages, str(tmp_path / "w"), gzip=gzip, fileBytes=100_000)
+    home = write_archive(pages, str(tmp_path / "w"), gzip=packed, fileBytes=100_000)
     got = read_warc(spark, home).collect()
     assert len(got) == len(rows)
     largest = {}
@@ -142,3 +143,76 @@ def test_empty_archive_and_headers(spark, tmp_path):
     assert parsed(b"WARC/1.1\r\nA: b\r\n c\r\n\r\n") == {"a": "b c"}
     with pytest.raises(Exception, match="nowhere"):
         read_warc(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_strict_reading_names_what_is_damaged(spark, tmp_path):
+    home = write_archive(spark.createDataFrame([(1, "u", "sound page"), (2, "u", "damaged page")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert read_archive(spark, home, strict=True).count() == 2
+    for at in (tmp_path / "w").glob("*.warc"):
+        at.write_bytes(at.read_bytes().replace(b"damaged page", b"damaged pogo"))
+    with pytest.raises(Exception, match="urn:page:2"):
+        read_archive(spark, home, strict=True).collect()
+
+
+def made(*payloads, packed=False):
+    raws = [record("response", f"urn:{i}", "http://a", x, "2024-01-01T00:00:00Z") for i, x in enumerate(payloads)]
+    return [gzip.compress(x) if packed else x for x in raws]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("kind", ["payload", "head", "length", "garbage", "tail"])
+def test_broken_archives(spark, tmp_path, kind, packed):
+    """A broken record is an error that names the file; what comes before it can be had."""
+    one, two = made(b"first", b"x" * 90_000)
+    if kind == "payload":
+        two = two[:-50]
+    elif kind == "head":
+        two = two[:60]
+    elif kind == "length":
+        two = two.replace(b"WARC/1.1\r\n", b"WARC/1.1\r\nX: y\r\n").replace(b"\r\nContent-Length: 9", b"\r\nContent-Length: -9")
+        two = re.sub(rb"(msgtype=response\r\nContent-Length: )", rb"\1x", two)
+    elif kind == "garbage":
+        two = b"no record\r\n\r\n" + two
+    else:
+        two = b"some bytes"
+    (tmp_path / "w").mkdir()
+    at = tmp_path / "w" / ("a.warc.gz" if packed else "a.warc")
+    at.write_bytes((gzip.compress(one) + gzip.compress(two)) if packed else one + two)
+    for payload in (True, False):
+        with pytest.raises(Exception, match=r"a\.warc"):
+            read_warc(spark, str(tmp_path / "w"), payload=payload).collect()
+        assert [r.record_id for r in read_warc(spark, str(tmp_path / "w"), payload=payload, broken="leave").collect()] == ["urn:0"]
+
+
+def test_cut_compression(spark, tmp_path):
+    one, two = made(b"first", b"second", packed=True)
+    for end in (two[:-20], two[:30] + b"\xff" * 40):
+        (tmp_path / "a.warc.gz").write_bytes(one + end)
+        with pytest.raises(Exception, match=r"a\.warc"):
+            read_warc(spark, str(tmp_path)).collect()
+        assert read_warc(spark, str(tmp_path), broken="leave").count() == 1
+
+
+def test_only_committed_files_count(spark, tmp_path):
+    home = write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    (tmp_path / "w" / "left-by-a-lost-task.warc").write_bytes(made(b"y")[0][:-9])
+    assert read_warc(spark, home).count() == 1
+    write_archive(spark.createDataFrame([(2, "u", "x")], "page_id long, url string, html string"), home)
+    assert sorted(r.record_id for r in read_warc(spark, home).collect()) == ["urn:page:1", "urn:page:2"]
+
+
+def test_a_narrow_predicate_skips_payloads(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from tidelog.llm import warc
+
+    home = write_archive(spark.createDataFrame([(i, f"http://{i}", chr(97 + i) * 300_000) for i in range(8)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    path = next((tmp_path / "w").glob("*.warc"))
+    read = []
+    plain = warc.PlainFile.bytes
+    monkeypatch.setattr(warc.PlainFile, "bytes", lambda self, start, length: (read.append(length), plain(self, start, length))[1])
+    with fs.LocalFileSystem().open_input_file(str(path)) as raw:
+        got = list(warc.records(warc.PlainFile(raw), "p", lambda own: own["target_uri"] == "http://3", True))
+    assert len(got) == 1 and got[0][8] == b"d" * 300_000
+    assert sum(read) < 300_000 + 8 * 3 * 4096 + 4096
+    assert read_warc(spark, home, where=F.col("target_uri") == "http://3").count() == 1
