@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 from html.parser import HTMLParser
 
@@ -31,6 +32,16 @@ LAYOUT = {
     "&nbsp;a&nbsp;": "\xa0a\xa0",
     "<ul><li><li>b</ul>": "- b",
     "<table><tr><td>a<table><tr><td>in</table>b<td>c</table>": "a   c\n\nin\n\nb",
+    "<p>a<!-->hello</p><p>world": "ahello\n\nworld",
+    "<p>a<!--->b<!-- > x --!>c": "abc",
+    "<div style='visibility:hidden'>no<p>no <b style='visibility: visible'>yes</b> no</p></div>z": "yes\n\nz",
+    "<ul style='visibility:hidden'><li>x<li style='visibility:visible'>y</ul>": "- y",
+    "<p hidden style='display:block'>a<p style='display:none;display:block'>b<p style='display:none!important;display:block'>c": "a\n\nb",
+    '<ol start="12345678"><li>a<li value=+07>b</ol>': "12345678. a\n7. b",
+    '<ol start="99999999999"><li>a</ol><ol start=-2><li>b</ol>': "1. a\n\n-2. b",
+    "<table><tr><td rowspan=0>x<td>a<tr><td>b<tbody><tr><td>new<td>n</table>": "x    a\n     b\nnew  n",
+    f"<table><tr><td>{'w' * 300}<td>z<tr><td>a<td>b</table>": f"{'w' * 300}  z\na{' ' * 301}b",
+    "<blockquote>" * 300 + "deep": " " * 600 + "deep",
 }
 
 
@@ -47,6 +58,89 @@ def test_depth_and_length():
     assert rendered("<a '" * 20_000) == ""
 
 
+def test_blanks_are_bounded_and_text_is_not():
+    wide = f"<table><tr><td>{'w' * 5000}<td>z" + "<tr><td>a<td>b" * 50 + "</table>"
+    whole, less = rendered(wide), rendered(wide, max_fill=10_000)
+    assert whole.split() == less.split() and len(less) < 20_000 < 250_000 < len(whole)
+    deep = "<ul><li>x" * 2000
+    assert rendered(deep).split() == ["-", "x"] * 2000 and max(map(len, rendered(deep).split("\n"))) <= 1003
+
+
+class Model:
+    """A page made together with its text, which no parser has a part in: what is laid out is known when the markup is made."""
+
+    def __init__(self, seed):
+        self.R = random.Random(seed)
+
+    def words(self):
+        return " ".join(self.R.choice(["red", "a&b", "x<y", "\xe9t\xe9", "7", "long-word"]) for _ in range(self.R.randint(1, 5)))
+
+    def inline(self):
+        """(markup, text)"""
+        R, parts, text = self.R, [], []
+        for _ in range(R.randint(1, 3)):
+            own = self.words()
+            code = own.replace("&", "&amp;").replace("<", R.choice(["&lt;", "&#60;", "&#x3c;"])).replace(" ", R.choice([" ", "\n  ", " \t "]))
+            code = R.choice(["{}", "<b>{}</b>", "<a href='<p>'>{}</a>", "<span style='visibility:hidden'>no<i style='visibility:visible'>{}</i>no</span>"]).format(code)
+            parts.append(code + R.choice(["", "", "<!-- <p>no -->", "<!-->", "<span hidden>no<b>no</b></span>", "<script>'<p>no'</script>", "<em style='color:red;DISPLAY:none'>no</em>"]))
+            text.append(own)
+        return " ".join(parts), " ".join(text)
+
+    def list(self, depth=0):
+        R = self.R
+        ordered, number = R.random() < 0.5, R.choice([1, 1, 7, 99])
+        code, lines = f"<ol start={number}>" if ordered else "<ul>", []
+        for _ in range(R.randint(1, 3)):
+            inner, text = self.inline()
+            mark = f"{number}. " if ordered else "- "
+            number += 1
+            code += f"<li>{inner}"
+            lines.append(mark + text)
+            if depth < 2 and R.random() < 0.4:
+                more, below = self.list(depth + 1)
+                code += more
+                lines += [" " * len(mark) + x for x in below]
+            code += R.choice(["</li>", ""])
+        return code + ("</ol>" if ordered else "</ul>"), lines
+
+    def table(self):
+        R, n = self.R, self.R.randint(1, 4)
+        rows = [[self.inline() for _ in range(n)] for _ in range(R.randint(1, 4))]
+        width = [max(len(row[c][1]) for row in rows) for c in range(n)]
+        code = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" + R.choice(["</td>", ""]) for x, _ in row) + R.choice(["</tr>", ""]) for row in rows) + "</table>"
+        return code, ["  ".join(text.ljust(w) for (_, text), w in zip(row, width, strict=True)).rstrip() for row in rows]
+
+    def blocks(self, depth=0):
+        """(markup, lines), and how far the first and last block want to stand apart."""
+        R, code, lines, gap = self.R, "", [], 0
+        for _ in range(R.randint(1, 4)):
+            kind = R.choice(["p", "div", "list", "table", "pre", "quote"] if depth < 2 else ["p", "div", "list"])
+            apart = 1 if kind == "div" else 2
+            if kind in ("p", "div"):
+                inner, text = self.inline()
+                own, more = [text], f"<{kind}>{inner}</{kind}>"
+            elif kind == "list":
+                more, own = self.list()
+            elif kind == "table":
+                more, own = self.table()
+            elif kind == "pre":
+                own = ["  " + self.words().replace("&", "+").replace("<", "-"), "", "x"]
+                more = "<pre>\n" + "\n".join(own) + "</pre>"
+            else:
+                inner, below = self.blocks(depth + 1)
+                more, own = f"<blockquote>{inner}</blockquote>", ["  " + x if x else x for x in below]
+            code += R.choice(["", "\n"]) + more
+            lines += [""] * (bool(lines) and max(gap, apart) > 1) + own
+            gap = apart
+        return code, lines
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_layout_of_made_pages(seed):
+    code, lines = Model(seed).blocks()
+    assert rendered(f"<html><head><title>no</title></head><body>{code}</body></html>").split("\n") == lines
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__()

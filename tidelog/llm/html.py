@@ -2,13 +2,17 @@
 
 A tokenizer feeds a tree builder that supplies implied tags (paragraphs, list items, table sections, rows and cells that end where
 the next begins; head and body; rows that were never opened). The tree is then walked once. What is never shown is left out: scripts,
-styles, templates, heads, comments, `hidden`, `display:none`, `visibility:hidden`, closed details and dialogs. White space
+styles, templates, heads, comments, `hidden` and `display:none` with all inside, closed details and dialogs. `visibility` is inherited: text
+under `hidden` or `collapse` is left out, but shown again under `visible`. White space
 collapses but for pre and textarea. Paragraph-like blocks stand apart by an empty line, other blocks by a line end. List items carry
-a mark or number and nest by indentation. Table cells stand in columns, padded to the widest cell of the column, though no
-wider than max_pad.
+a mark or number and nest by indentation. Table cells stand in columns, padded to the widest cell of the column.
 
-Neither builder nor walk recurses, so depth has no limit but memory. Defined results: null or empty input gives the
-empty text; broken markup gives some tree, never an error; a tag that never ends takes the rest with it. Repeated rows get
+No text is ever cut. Two parameters bound the blanks that layout adds: indentation deeper than max_indent columns is drawn at max_indent, and a table whose padding would
+be more than max_fill characters is padded to columns of at most max_pad.
+
+Neither builder nor walk recurses, so depth has no limit but memory, and texts of any length are taken whole. Defined results: null or empty input gives the
+empty text; broken markup gives some tree, never an error; a tag that never ends takes the rest with it; numbers of lists beyond 32 bits count as not given; column spans are 1 to 1000, row
+spans 0 (to the end of the section) to 65534, as HTML has it. Repeated rows get
 equal texts; an empty table gives no rows; other columns stay, and a column named as the output is replaced.
 """
 
@@ -52,9 +56,10 @@ ENDS = {
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 
 ATTRIBUTES = r"""(?:[^>"'=]++|=[ \t\n\f\r]*+"[^"]*+(?:"|\Z)|=[ \t\n\f\r]*+'[^']*+(?:'|\Z)|[="'])*+"""
-TOKEN = re.compile(rf"[^<]+|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(>|\Z)|<", re.S)
+TOKEN = re.compile(rf"[^<]+|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(>|\Z)|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>]*))?""")
-UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -159,6 +164,16 @@ def tree(html: str) -> Node:
     return root
 
 
+def styled(style: str) -> dict[str, str]:
+    """The display and visibility that a style attribute sets: of each the last, important ones before others."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in DECLARATION.finditer(CSS_COMMENT.sub("", style)):
+        name, important = m[1].lower(), bool(m[3])
+        if name not in out or important >= out[name][0]:
+            out[name] = important, m[2].lower()
+    return {k: v for k, (_, v) in out.items()}
+
+
 def close_end(stack: list[Node], tag: str) -> None:
     """An end tag: ends the nearest open element of that name, if nothing that must stay open lies between."""
     block = tag in BLOCK or tag in SCOPE or tag in ("select", "datalist")
@@ -248,6 +263,10 @@ class Table:
         self.caption: list[list[str]] = []
         self.held: dict[int, int] = {}  # column -> rows that a cell above still takes
 
+    def section(self) -> None:
+        """No cell reaches over the ends of a section."""
+        self.held = {}
+
     def row(self) -> None:
         self.held = {c: n - 1 for c, n in self.held.items() if n > 1}
         self.rows.append([])
@@ -259,21 +278,28 @@ class Table:
         while self.held.get(self.at, 0):
             self.at += 1
         self.rows[-1].append((self.at, columns, lines))
-        if rows > 1:
-            self.held.update({c: rows for c in range(self.at, self.at + columns)})
+        if rows != 1:  # 0: to the end of the section
+            self.held.update({c: rows or 1 << 30 for c in range(self.at, self.at + columns)})
         self.at += columns
 
-    def lines(self, max_pad: int) -> list[str]:
+    def _widths(self, most: float) -> dict[int, int]:
         width: dict[int, int] = {}
         for row in self.rows:
             for c, n, lines in row:
-                width[c] = max(width.get(c, 0), min(max_pad, max(map(len, lines), default=0)) if n == 1 else 0)
+                width[c] = max(width.get(c, 0), min(most, max(map(len, lines), default=0)) if n == 1 else 0)
         for row in self.rows:
             for c, n, lines in row:
                 if n > 1:  # what a cell needs beyond its columns widens the last of them that there is
                     own = [x for x in range(c, c + n) if x in width]
-                    need = min(max_pad, max(map(len, lines), default=0)) - sum(width[x] + 2 * bool(width[x]) for x in own[:-1])
+                    need = min(most, max(map(len, lines), default=0)) - sum(width[x] + 2 * bool(width[x]) for x in own[:-1])
                     width[own[-1]] = max(width[own[-1]], need)
+        return width
+
+    def lines(self, max_pad: int, max_fill: int) -> list[str]:
+        width = self._widths(float("inf"))
+        fill = sum(sum(width[c] for c, _, _ in row[:-1]) * max(len(lines) for *_, lines in row) for row in self.rows if row)
+        if fill > max_fill:
+            width = self._widths(max_pad)
         start, at = {}, 0
         for c in sorted(width):
             start[c], at = at, at + width[c] + 2 * bool(width[c])
@@ -289,28 +315,36 @@ class Table:
         return out
 
 
-def _number(value: str | None, start: int = 1, most: int = 1000) -> int:
-    m = re.match(r"\s*(-?\d{1,6})", value or "")
-    return min(most, int(m[1])) if m else start
+def _number(value: str | None, start: int, least: int = -(1 << 31), most: int = (1 << 31) - 1) -> int:
+    """The integer that an attribute begins with; `start` if there is none or it is beyond 32 bits; else within least and most."""
+    m = re.match(r"[ \t\n\f\r]*([+-]?)0*([0-9]+)", value or "")
+    if not m or len(m[2]) > 10 or not -(1 << 31) <= (n := int(m[1] + m[2])) < 1 << 31:
+        return start
+    return min(most, max(least, n))
 
 
-def rendered(html: str | None, max_pad: int = 80) -> str:
+def rendered(html: str | None, max_pad: int = 80, max_fill: int = 1 << 22, max_indent: int = 1000) -> str:
     """The visible text of a page."""
     if not html:
         return ""
     page = Page()
-    pages, tables, lists, pre = [page], [], [], 0
+    pages, tables, lists, pre, unseen = [page], [], [], 0, False
     # what is left to do: nodes and texts to enter, and functions for leaving
     left: list = [tree(html)]
     while left:
         x = left.pop()
         if isinstance(x, str):
-            page.exact(x) if pre else page.text(x)
+            if not unseen:
+                page.exact(x) if pre else page.text(x)
             continue
         if not isinstance(x, Node):
             kind, value = x
             if kind == "block":
                 page.block(value)
+            elif kind == "seen":
+                unseen = value
+            elif kind == "section":
+                tables[-1].section()
             elif kind == "pre":
                 pre -= 1
                 page.block(2)
@@ -335,15 +369,20 @@ def rendered(html: str | None, max_pad: int = 80) -> str:
                 tables[-1].caption.append(own)
             elif kind == "table":
                 page.block(2)
-                page.whole(tables.pop().lines(max_pad))
+                page.whole(tables.pop().lines(max_pad, max_fill))
                 page.block(2)
             continue
         tag = x.tag
         if tag in UNSEEN:
             continue
         own = x.attributes() if x.raw else {}
-        if own and ("hidden" in own or "style" in own and UNSHOWN.search(own["style"])):
-            continue
+        if own and ("hidden" in own or "style" in own):
+            style = styled(own.get("style", ""))
+            if style.get("display", "none" if "hidden" in own else "") == "none":
+                continue
+            if (way := style.get("visibility")) in ("hidden", "collapse", "visible", "initial"):
+                left.append(("seen", unseen))
+                unseen = way in ("hidden", "collapse")
         children = x.children
         if tag == "br":
             page.end(keep=True)
@@ -351,7 +390,7 @@ def rendered(html: str | None, max_pad: int = 80) -> str:
         if tag == "wbr" or tag == "img":
             continue
         if tag == "input":
-            if own.get("type", "").lower() in ("submit", "button", "reset") and own.get("value"):
+            if own.get("type", "").lower() in ("submit", "button", "reset") and own.get("value") and not unseen:
                 page.text(own["value"])
             continue
         if tag == "hr":
@@ -365,10 +404,13 @@ def rendered(html: str | None, max_pad: int = 80) -> str:
             page.block(2)
             tables.append(Table())
             left.append(("table", None))
+        elif tag in SECTIONS and tables:
+            tables[-1].section()
+            left.append(("section", None))
         elif tag == "tr" and tables:
             tables[-1].row()
         elif tag in CELLS and tables:
-            left.append(("cell", ((max(1, _number(own.get("colspan"))), max(1, _number(own.get("rowspan")))), lists, pre)))
+            left.append(("cell", ((_number(own.get("colspan"), 1, 1, 1000), _number(own.get("rowspan"), 1, 0, 65534) if own.get("rowspan", "").lstrip()[:1] != "-" else 1), lists, pre)))
             pages.append(page := Page())
             lists, pre = [], 0
         elif tag == "caption" and tables:
@@ -377,21 +419,21 @@ def rendered(html: str | None, max_pad: int = 80) -> str:
             lists, pre = [], 0
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(1 if lists else 2)
-            lists.append([_number(own.get("start"), 1, 10**6) if tag == "ol" else None])
+            lists.append([_number(own.get("start"), 1) if tag == "ol" else None])
             left.append(("list", None))
         elif tag == "li":
             page.block(1)
             number = lists[-1][0] if lists else None
             if number is not None:
-                number = _number(own.get("value"), number, 10**6)
+                number = _number(own.get("value"), number)
                 lists[-1][0] = number + 1
             mark = "- " if number is None else f"{number}. "
             left.append(("item", page.indent))
-            page.mark, page.indent = page.indent + mark, (page.indent + " " * len(mark))[:200]
+            page.mark, page.indent = None if unseen else page.indent + mark, (page.indent + " " * len(mark))[:max_indent]
         elif tag in ("dd", "blockquote"):
             left.append(("quote" if tag == "blockquote" else "item", page.indent))
             page.block(2 if tag == "blockquote" else 1)
-            page.indent = (page.indent + "  ")[:200]
+            page.indent = (page.indent + "  ")[:max_indent]
         elif tag in ("pre", "textarea", "listing", "xmp", "plaintext"):
             page.block(2)
             pre += 1
@@ -408,7 +450,7 @@ def rendered(html: str | None, max_pad: int = 80) -> str:
     return "\n".join(page.done())
 
 
-def extract(pages: DataFrame, *, html: str = "html", name: str = "text", max_pad: int = 80) -> DataFrame:
+def extract(pages: DataFrame, *, html: str = "html", name: str = "text", max_pad: int = 80, max_fill: int = 1 << 22, max_indent: int = 1000) -> DataFrame:
     """pages with the visible text of the whole html column."""
     ship(pages.sparkSession)
     keep = [i for i, c in enumerate(pages.columns) if c != name]
@@ -419,6 +461,6 @@ def extract(pages: DataFrame, *, html: str = "html", name: str = "text", max_pad
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array([rendered(x, max_pad) for x in part.column(at).to_pylist()], pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array([rendered(x, max_pad, max_fill, max_indent) for x in part.column(at).to_pylist()], pa.string())], names=schema.names)
 
     return pages.mapInArrow(run, schema)
