@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tests_llm_hand import lines_by_hand
-from tidelog.llm.lines import LineRuns, dedup_lines
+from tidelog.llm.lines import LineRuns, _two, dedup_lines
 from tidelog.llm.shards import balanced_shards, write_shards
 
 LONG = "This  is a Line of more than FORTY code points, %d"
@@ -39,6 +39,45 @@ def test_runs_settle_and_compact(spark):
     assert sorted(r._h1 for r in runs.settled().collect()) == [1, 2]
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan
+
+
+def test_runs_are_merged_bucket_by_bucket(spark):
+    """Of an anti-join only the batch is exchanged, of a merge nothing; no run has a line twice, and each bucket is one file."""
+    runs = LineRuns(min_docs=2, fanout=9, buckets=8)
+    rows = spark.range(4000).select((F.col("id") % 700).alias("_h1"), (F.col("id") % 7).alias("_h2"), F.col("id").alias("_doc"))
+    want = {}
+    for _ in range(3):
+        for h1, h2, _ in rows.distinct().collect():
+            want[h1, h2] = want.get((h1, h2), 0)
+        seen = {k for k, n in want.items() if n >= 2}
+        for h1, h2, _ in rows.collect():
+            if (h1, h2) not in seen:
+                want[h1, h2] += 1
+        runs.add(rows)
+        rows = rows.select((F.col("_h1") + 350).alias("_h1"), "_h2", "_doc")
+    assert {(r._h1, r._h2): r._docs for r in runs.merged().collect()} == {k: n for k, n in want.items()}
+    one, two = runs.levels[0][:2]
+    assert exchanges(_two(one, two))[0] == 0
+    n, plan = exchanges(runs.unsettled(rows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper"))))
+    assert n == 1 and plan.count("SortMergeJoin") == 3
+    for name in runs.tables:
+        assert len(spark.table(name).inputFiles()) <= 8
+    tables = list(runs.tables)
+    runs.close()
+    assert not any(spark.catalog.tableExists(x) for x in tables)
+
+
+def test_lines_of_clashing_columns(spark):
+    rows = [(i, LONG % 1, f"own {i}", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_row", "a.b"]).select("*", F.lit("x").alias("_GONE"), F.lit("y").alias("_n_lines"), F.lit(3).alias("_split"))
+    got = dedup_lines(docs)
+    assert got.columns == [c for c in docs.columns if c != "_n_lines"] + ["_n_lines", "_n_dropped"]
+    assert sorted((r.doc_id, r._row, r["a.b"], r._GONE, r._split, r.text) for r in got.collect()) == [(i, f"own {i}", i, "x", 3, LONG % 1 if i == 5 else "") for i in range(6)]
+
+
 def test_shards(spark, odd_texts):
     R = random.Random(2)
     rows = [(R.randrange(10**6), "w" * R.randrange(400)) for _ in range(700)] + [(i, x) for i, x in enumerate(odd_texts)] + [(None, "x"), (5, "same"), (5, "same")]

@@ -45,7 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def filled(column: str) -> Column:
     """A text column with null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(own(column).cast("string"), F.lit(""))
+
+
+def own(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names given, each lengthened until no column has it, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def open_fs(uri: str):

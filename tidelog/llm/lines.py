@@ -5,20 +5,23 @@ of its documents the line is found and the largest key among them. A line that t
 documents is settled: its keeper has been seen. Each new batch anti-joins the settled lines away by a merge join and adds what
 is left as a sorted run of level 0; `fanout` runs of one level are compacted to one of the next.
 
-Defined results: a null or empty text is one empty line. Rows are documents; rows of one key count one by one, and
-all rows of the keeper's key keep the line. A null key is below all others. Repeated rows, ties, empty tables and
-other columns (left as they are or left out, by function) need no care from the caller; columns may be called
-anything but _-names. Keys are numbers. Hashes are 128 bits wide.
+Runs are tables in buckets of the hash, one sorted file a bucket, all with the same buckets. So runs are merged and anti-joined bucket by
+bucket: only a batch's own lines are ever exchanged, once, after they have been counted on the map side.
+The tables' names are in the session's catalog until the runs are closed, their files in scratch space.
+
+Defined results: a null or empty text is one empty line; texts and lines of any length are taken whole. Rows are documents; rows of one key count one by one, and
+all rows of the keeper's key keep the line. A null key is below all others. Repeated rows and ties need no care from the caller; an empty table
+gives no rows. Other columns stay as they are, whatever their names; columns called _n_lines and _n_dropped are replaced. Keys are numbers. Hashes are 128 bits wide.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, stored
+from tidelog.llm.common import filled, fresh, own, scratch, stored
 
 SPACES = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,23 +38,35 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("_h1"), F.xxhash64(F.concat(F.lit("line:"), k)).alias("_h2"))))
 
 
+def _two(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one, by a full merge join."""
+    other = b.select("_h1", "_h2", F.col("_docs").alias("_docs2"), F.col("_keeper").alias("_keeper2")).hint("merge")
+    docs = F.coalesce("_docs", F.lit(0)) + F.coalesce("_docs2", F.lit(0))
+    return a.join(other, ["_h1", "_h2"], "full").select("_h1", "_h2", docs.alias("_docs"), F.greatest("_keeper", "_keeper2").alias("_keeper"))
+
+
 class LineRuns:
-    """The levelled runs: rows (_h1, _h2, _docs, _keeper), no line twice in a run."""
+    """The levelled runs: rows (_h1, _h2, _docs, _keeper), no line twice in a run. buckets: as many as shuffles have partitions, if not given."""
 
-    def __init__(self, min_docs: int = 5, fanout: int = 4):
+    def __init__(self, min_docs: int = 5, fanout: int = 4, buckets: int | None = None):
         if fanout < 2 or min_docs < 1:
             raise ValueError("fanout must be 2 or more, min_docs 1 or more")
-        self.min_docs, self.fanout = min_docs, fanout
+        self.min_docs, self.fanout, self.buckets = min_docs, fanout, buckets
         self.levels: list[list[DataFrame]] = [[]]
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.unionByName, runs).groupBy("_h1", "_h2").agg(F.sum("_docs").alias("_docs"), F.max("_keeper").alias("_keeper"))
+        self.tables: list[str] = []
 
     def merged(self) -> DataFrame | None:
+        """All runs as one; two at a time, so that every join is of two tables in the same buckets."""
         runs = [run for level in self.levels for run in level]
-        return self._merge(runs) if runs else None
+        return self._merged(runs) if runs else None
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        first = runs[0]
+        for i, run in enumerate(runs[1:], 2):
+            first = _two(first, run)
+            if i < len(runs):
+                first = self._run(first)
+        return first
 
     def settled(self) -> DataFrame | None:
         """Lines found in enough documents, with their keeper."""
@@ -60,14 +75,23 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """lines: (_h1, _h2, _doc), a row for each document and distinct line of the batch; keys below those of earlier batches."""
-        own = lines.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper"))
-        if (settled := self.settled()) is not None:
-            own = own.join(settled.select("_h1", "_h2").hint("merge"), ["_h1", "_h2"], "left_anti")
-        self.levels[0].append(self._run(own))
+        self.levels[0].append(self._run(self.unsettled(lines.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper")))))
         self._compact()
 
+    def unsettled(self, counted: DataFrame) -> DataFrame:
+        """The lines of a batch, (_h1, _h2, _docs, _keeper), that the runs together don't count in enough documents yet."""
+        runs = [run for level in self.levels for run in level]
+        for i, run in enumerate(runs):
+            counted = counted.join(run.select("_h1", "_h2", F.col("_docs").alias(f"_docs{i}")).hint("merge"), ["_h1", "_h2"], "left")
+        known = sum((F.coalesce(F.col(f"_docs{i}"), F.lit(0)) for i in range(len(runs))), F.lit(0))
+        return counted.where(known < self.min_docs).select("_h1", "_h2", "_docs", "_keeper")
+
     def _run(self, rows: DataFrame) -> DataFrame:
-        return stored(rows.sortWithinPartitions("_h1", "_h2"), "run")
+        spark, name = rows.sparkSession, f"tidelog_run_{uuid.uuid4().hex}"
+        self.buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.format("parquet").bucketBy(self.buckets, "_h1", "_h2").sortBy("_h1", "_h2").option("path", scratch(spark, "run")).saveAsTable(name)
+        self.tables.append(name)
+        return spark.table(name)
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
@@ -75,9 +99,15 @@ class LineRuns:
                 return
             if i + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[i + 1].append(self._run(self._merge(level)))
+            self.levels[i + 1].append(self._run(self._merged(level)))
             level.clear()
 
+    def close(self) -> None:
+        """Takes the runs' names out of the catalog."""
+        for name in self.tables:
+            SparkSession.active().sql(f"drop table if exists {name}")
+        self.tables, self.levels = [], [[]]
+
 
 def _cuts(docs: DataFrame, key: str, batches: int) -> list:
     """Keys that cut the table into batches of near equal row counts, ascending; at most batches - 1 numbers reach the driver."""
@@ -96,33 +126,37 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     split = F.split(filled(text), "\n", -1)
     cut = F.lit(0)
     for x in _cuts(docs, key, batches):
-        cut = cut + F.when(F.col(key) > F.lit(x), 1).otherwise(0)
-    hashed = docs.select(F.col(key).alias("_doc"), row.alias("_row"), cut.alias("_batch"), line_hashes(split, min_chars).alias("_hashes"))
+        cut = cut + F.when(own(key) > F.lit(x), 1).otherwise(0)
+    hashed = docs.select(own(key).alias("_doc"), row.alias("_row"), cut.alias("_batch"), line_hashes(split, min_chars).alias("_hashes"))
     long_lines = F.filter(F.transform("_hashes", lambda h, i: F.struct(i.alias("_pos"), h["_h1"].alias("_h1"), h["_h2"].alias("_h2"))), lambda x: x["_h1"].isNotNull())
     sketch = stored(hashed.select("_doc", "_row", "_batch", long_lines.alias("_lines")).where(F.size("_lines") > 0), "lines", partition_by=("_batch",))
 
     runs = LineRuns(min_docs, fanout)
-    for i in reversed(range(batches)):
-        own = sketch.where(F.col("_batch") == i)
-        distinct = F.array_distinct(F.transform("_lines", lambda x: F.struct(x["_h1"].alias("_h1"), x["_h2"].alias("_h2"))))
-        runs.add(own.select("_doc", F.explode(distinct).alias("_h")).select("_h._h1", "_h._h2", "_doc"))
-    settled = stored(runs.settled().select("_h1", "_h2", "_keeper"), "settled")
+    try:
+        for i in reversed(range(batches)):
+            batch = sketch.where(F.col("_batch") == i)
+            distinct = F.array_distinct(F.transform("_lines", lambda x: F.struct(x["_h1"].alias("_h1"), x["_h2"].alias("_h2"))))
+            runs.add(batch.select("_doc", F.explode(distinct).alias("_h")).select("_h._h1", "_h._h2", "_doc"))
+        settled = stored(runs.settled().select("_h1", "_h2", "_keeper"), "settled")
+    finally:
+        runs.close()
 
     each = sketch.select("_doc", "_row", F.explode("_lines").alias("_x")).select("_doc", "_row", "_x._pos", "_x._h1", "_x._h2")
     lost = each.join(settled, ["_h1", "_h2"]).where((F.col("_doc") < F.col("_keeper")) | (F.col("_doc").isNull() & F.col("_keeper").isNotNull()))
     gone = lost.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
-    # by merge join at every size: documents that lose lines grow with the input
-    gone = stored(gone, "gone").hint("merge").select(F.col("_doc").alias("_doc2"), F.col("_row").alias("_row2"), "_gone")
-    both = docs.withColumn("_row", row).join(gone, F.col(key).eqNullSafe(F.col("_doc2")) & (F.col("_row") == F.col("_row2")), "left")
+    # stored, so that its size is known when the join is planned: texts are exchanged only if it is too much to send around
+    doc_, row_, row2_, gone_, split_, kept_ = fresh(docs.columns, "_doc", "_row", "_row2", "_gone", "_split", "_kept")
+    gone = stored(gone, "gone").select(F.col("_doc").alias(doc_), F.col("_row").alias(row2_), F.col("_gone").alias(gone_))
+    both = docs.withColumn(row_, row).join(gone, own(key).eqNullSafe(F.col(doc_)) & (F.col(row_) == F.col(row2_)), "left")
     # the kept lines: the slices between dropped places
-    lines, place = F.split(filled(text), "\n", -1), F.col("_gone")
+    lines, place = F.split(filled(text), "\n", -1), F.col(gone_)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(place, i - 1) + 1)
-    end = lambda i: F.coalesce(F.get(place, i), F.size("_split"))
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_split", start(i) + 1, end(i) - start(i))))
+    end = lambda i: F.coalesce(F.get(place, i), F.size(split_))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size(place)), lambda i: F.slice(split_, start(i) + 1, end(i) - start(i))))
     kept = F.when(place.isNull(), filled(text)).otherwise(F.array_join(parts, "\n"))
-    out = both.withColumn("_split", lines).withColumn("_kept", kept)
+    out = both.withColumn(split_, lines).withColumn(kept_, kept)
     return out.select(
-        *[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.size("_split").cast("long").alias("_n_lines"),
-        F.when(place.isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("_n_dropped"),
+        *[F.col(kept_).alias(c) if c == text else own(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
+        F.size(split_).cast("long").alias("_n_lines"),
+        F.when(place.isNull(), F.lit(0)).otherwise(F.size(place)).cast("long").alias("_n_dropped"),
     )

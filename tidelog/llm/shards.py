@@ -6,7 +6,7 @@ the partition gives every row its own. The line of bytes is cut at equal targets
 
 Defined results: a null text counts as empty (size 1, crc 0); null keys come first; rows that agree in key, size
 and crc are interchangeable, and take neighbouring places; an empty table gives no rows; other columns are left
-out, whatever their names. Contiguity in key order is the law here: equal texts are not kept together, as a group
+out, whatever their names; texts of any length count whole. Contiguity in key order is the law here: equal texts are not kept together, as a group
 of copies may be larger than a shard.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, stored
+from tidelog.llm.common import filled, own, stored
 
 
 def global_offsets(rows: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -50,12 +50,12 @@ def balanced_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if shards < 1:
         raise ValueError("shards must be at least 1")
     narrow = docs.select(
-        F.col(key).alias("_key"),
+        own(key).alias("_key"),
         (F.octet_length(filled(text)).cast("long") + 1).alias("size"),
         F.crc32(filled(text).cast("binary")).alias("text_crc32"),
     )
     at = global_offsets(stored(narrow, "sizes"), ["_key", "size", "text_crc32"], "size")
-    cut = at.withColumn("shard", F.expr(f"cast(least((_before * {int(shards)}) div _total, {int(shards) - 1}) as int)"))
+    cut = stored(at.select("_key", "size", "text_crc32", "_index", F.expr(f"cast(least((_before * {int(shards)}) div _total, {int(shards) - 1}) as int)").alias("shard")), "cut")
     first = cut.groupBy("shard").agg(F.min("_index").alias("_first"))  # at most `shards` rows
     return cut.join(F.broadcast(first), "shard").select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_index") - F.col("_first")).alias("slot"))
 
@@ -63,7 +63,7 @@ def balanced_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def write_shards(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", shards: int = 16) -> None:
     """Writes key and text as Parquet, a folder for each shard."""
     placed = balanced_shards(docs, key=key, text=text, shards=shards)
-    keyed = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), (F.octet_length(filled(text)).cast("long") + 1).alias("_size"), F.crc32(filled(text).cast("binary")).alias("_crc"))
+    keyed = docs.select(own(key).alias("_k"), own(text).alias("_text"), (F.octet_length(filled(text)).cast("long") + 1).alias("_size"), F.crc32(filled(text).cast("binary")).alias("_crc"))
     # rows that agree in key, size and crc get their places one to one
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
     left = keyed.withColumn("_n", nth("_k", "_size", "_crc"))

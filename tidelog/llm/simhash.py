@@ -12,7 +12,8 @@ its own (tree of one, searches of the other), so no task needs more than two chu
 
 Defined results: null and empty texts, and those of white space only, have fingerprint zero and are linked like any other;
 fewer words than a shingle make one shingle of them all; a null doc_id is no candidate for a component's smallest id
-(null where all are null). Repeated rows and ties share a component. An empty table gives no rows. Other columns are left out.
+(null where all are null). Repeated rows and ties share a component. Texts of any length are taken whole. An empty table gives no rows. Other columns are left out by
+near_duplicates and kept by keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, release_memory, ship, stored
+from tidelog.llm.common import filled, fresh, release_memory, ship, stored
+from tidelog.llm.common import own as whole
 
 #: Widths of the blocks of bits, from the lowest. Two fingerprints at distance 3 agree in two of the five at least.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -226,7 +228,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most:
     first = own.join(labels, "fp").groupBy("_root").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("row").alias("r"))).alias("x"))
     copies = own.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("_copies"))
     kept = stored(first.select(F.col("x.d").alias("_d"), F.col("x.r").alias("_r")).join(copies, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_r") == F.col("row"))).select("_d", "_r", "_copies"), "kept")
-    rows = docs.withColumn("_row", F.xxhash64(filled(text)))
-    of = lambda some: rows.join(some, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_semi")
-    once, more = of(kept.where(F.col("_copies") == 1)), of(kept.where(F.col("_copies") > 1))
-    return once.unionByName(more.dropDuplicates([key, "_row"])).select(*docs.columns)
+    row, d, r, n = fresh(docs.columns, "_row", "_d", "_r", "_copies")
+    rows, kept = docs.withColumn(row, F.xxhash64(filled(text))), kept.toDF(d, r, n)
+    of = lambda some: rows.join(some, whole(key).eqNullSafe(F.col(d)) & (F.col(row) == F.col(r)), "left_semi")
+    once, more = of(kept.where(F.col(n) == 1)), of(kept.where(F.col(n) > 1))
+    return once.unionByName(more.dropDuplicates([key, row])).select(*[whole(c) for c in docs.columns])
