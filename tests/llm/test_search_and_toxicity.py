@@ -129,3 +129,61 @@ def test_risk_does_not_fall_below_zero():
     weight, bias = fit_nnpu(p, u, 50, 0.3)
     assert np.isfinite(weight).all() and math.isfinite(bias) and np.abs(weight).max() < 60
     assert len(features(b"ab")) == 1 and len(features("wörtlich".encode())) == 4
+
+
+def fit_by_hand(rows_p, rows_u, n, prior, steps, warm, rate=0.05, decay=1e-4):
+    """The same descent in plain loops, with gradients by small differences of the risk as it is defined."""
+
+    def risks(w, step):
+        z = lambda x: sum(w[j] for j in x) + w[n]
+        if step <= warm:
+            plus, minus = (lambda v: math.log1p(math.exp(-v))), (lambda v: math.log1p(math.exp(v)))
+        else:
+            plus, minus = (lambda v: 1 / (1 + math.exp(v))), (lambda v: 1 / (1 + math.exp(-v)))
+        mean = lambda f, rows: sum(f(z(x)) for x in rows) / len(rows)
+        return prior * mean(plus, rows_p), mean(minus, rows_u) - prior * mean(minus, rows_p)
+
+    w, m, v = [0.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+    for step in range(1, steps + 1):
+        negative = risks(w, step)[1]
+        g = []
+        for j in range(n + 1):
+            up, down = [x + 1e-5 * (i == j) for i, x in enumerate(w)], [x - 1e-5 * (i == j) for i, x in enumerate(w)]
+            a, b = risks(up, step), risks(down, step)
+            own = sum(a) - sum(b) if negative >= 0 else b[1] - a[1]  # a negative risk below zero is gone against
+            g.append(own / 2e-5 + (decay * w[j] if j < n else 0))
+        for j in range(n + 1):
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
+            w[j] -= rate * (m[j] / (1 - 0.9**step)) / (math.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_fit_by_hand():
+    R = random.Random(3)
+    rows_p = [[R.choice([0, 0, 1, 2]) for _ in range(R.randint(1, 3))] for _ in range(12)]
+    rows_u = [[R.choice([0, 1, 2, 3, 3, 3]) for _ in range(R.randint(0, 3))] for _ in range(30)]
+    for prior in (0.2, 0.6):  # with the larger, the negative risk falls below zero
+        weight, bias = fit_nnpu(rows_p, rows_u, 4, prior, steps=40, warm=20)
+        assert np.allclose([*weight, bias], fit_by_hand(rows_p, rows_u, 4, prior, 40, 20), atol=2e-3)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """A key that comes often gives one text."""
+    docs, labels = crowd(300)
+    docs = [(i, t) for i, t, _ in docs]
+    many = spark.createDataFrame(docs, "doc_id long, text string").union(spark.createDataFrame([docs[0]] * 3000 + [(docs[0][0], "another text")], "doc_id long, text string"))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = train(spark.createDataFrame(docs, "doc_id long, text string"), table)
+    other = train(many.where(F.col("text") != "another text"), table)
+    assert one.weights.keys() == other.weights.keys() and abs(one.bias - other.bias) < 1e-6
+    assert train(many, table).prior == one.prior
+
+
+def test_held_out_rows_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = score(docs, train(docs, labels)).join(known, "doc_id").where(held_out()).select("lang", "toxic", "score").collect()
+    caught = [r for r in rows if r.toxic == 1 and r.score >= 0.3]
+    print({x: (sum(r.lang == x for r in caught), sum(r.lang == x and r.toxic == 1 for r in rows)) for x in ("en", "de", "fr", "es")}, sum(r.toxic == 0 and r.score >= 0.3 for r in rows))
+    assert len(caught) >= 0.85 * sum(r.toxic == 1 for r in rows)  # 105 of 120 when this was written; Spanish, of which 22 texts are known, 2 of 11
+    assert sum(r.toxic == 0 and r.score >= 0.3 for r in rows) <= 0.01 * len(rows)

@@ -7,8 +7,8 @@ E_pos[loss(-)]). Where the second part falls below zero, steps go against it, as
 Features of a text are its distinct words and those words' beginnings; the few that stand out among the positives against
 the unlabelled set are kept. A text's margin is a sum over its distinct words, so texts of any length are scored whole.
 
-Bounds, all parameters: at most max_positive and max_unlabelled texts are fitted on, those of smallest hash of the key;
-at most max_features features reach the driver. Scores cover all rows.
+Bounds, all parameters: at most max_positive and max_unlabelled texts are fitted on, those of smallest hash of the key, one for each key
+however often it comes; at most max_features features reach the driver. Scores cover all rows.
 
 Defined results: null and empty texts have no words and get the score of the bias. Several labels of one key: toxic if any
 says so. A null key or label labels nothing. Without confirmed positives all scores are 0. Repeated rows get equal scores; other columns stay,
@@ -120,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     chosen_u = ids.distinct().orderBy(mix, "_key").limit(max_unlabelled)
     chosen = stored(chosen_p.select("_key", F.lit(True).alias("_positive")).unionByName(chosen_u.select("_key", F.lit(False).alias("_positive"))), "chosen")
     # at most max_positive + max_unlabelled rows of a key and a flag
-    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_positive", "_text")
+    joined = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key")
+    # of a key that comes often, one text: that of smallest hash
+    sample = joined.groupBy("_key", "_positive").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_positive", "_text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
