@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import ByteBPE, PairTree, decode_documents, encode_documents, roundtrip_documents
-from tidelog.llm.token_store import PerfectHash, WordEncoder, fingerprint, lookup, read_store, with_crc, write_store
+from tidelog.llm.token_store import PerfectHash, Shard, ShardFile, WordEncoder, cuts_at_blanks, fingerprint, lookup, read_store, with_crc, write_store
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -145,3 +145,54 @@ def test_many_shards(spark, vocabulary):
         assert starts == sorted(starts) and starts[0] == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_access_by_key_reads_a_few_blocks(tmp_path):
+    """However many keys a shard has, a key costs its blocks of slots, a few words and its ids."""
+    R, most = np.random.default_rng(5), []
+    for n in (1_000, 100_000):
+        uri = str(tmp_path / f"{n}.tokens")
+        keys, file = np.unique(R.integers(-(1 << 62), 1 << 62, n)), ShardFile(uri, 0, 2)
+        file.add(pa.array(keys), np.repeat(np.arange(len(keys)) % 60_000, 3).astype("<u2"), np.full(len(keys), 3))
+        one = file.close()
+        assert one["n_ids"] == 3 * len(keys) and one["first_key"] == keys[0]
+        shard, whole = Shard(uri), Shard(uri).load()
+        some = np.concatenate([keys[:: max(1, n // 50)], R.integers(-(1 << 62), 1 << 62, 50)])
+        for a, b in zip(shard.places(some), whole.places(some), strict=True):
+            assert (a == b).all()
+        read = []
+
+        class Counted:
+            def __init__(self, of):
+                self.of = of
+
+            def read_at(self, length, at):
+                read.append(length)
+                return self.of.read_at(length, at)
+
+        shard.file = Counted(shard.file)
+        for k in (3, 500, 999):
+            row, rows = shard.places(keys[k : k + 1])
+            first, ids = shard.ids(int(row[0]), int(rows[0]))
+            assert (row[0], rows[0], first[0]) == (k, 1, 3 * k) and ids[0].tolist() == [k] * 3
+        most.append(sum(read))
+    assert most[1] < 3 * 1000 and most[1] < 3 * most[0]
+
+
+def test_shards_are_cut_by_bytes(spark, vocabulary):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    path = vocabulary("word_bpe_49k.json")
+    manifest = write_store(docs.repartition(2), path, file_bytes=2_000)
+    one = write_store(docs.coalesce(1), path)
+    assert manifest.count() >= one.count()
+    assert sorted(map(tuple, read_store(manifest).collect()), key=str) == sorted(map(tuple, read_store(one).collect()), key=str)
+    assert sorted(r.doc_id for r in lookup(manifest, [0, 7, 299, 300]).collect()) == [0, 7, 299]
+
+
+def test_other_vocabularies_get_whole_texts(vocabulary, odd_texts):
+    assert cuts_at_blanks(vocabulary("word_bpe_49k.json")) and not cuts_at_blanks(vocabulary("byte_bpe_50k.json"))
+    path = vocabulary("byte_bpe_50k.json")
+    ids, number = WordEncoder(path).encode(pa.array(odd_texts, pa.string()))
+    lib = library(path)
+    want = [lib.encode(x or "", add_special_tokens=False).ids for x in odd_texts]
+    assert number.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

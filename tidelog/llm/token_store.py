@@ -1,9 +1,9 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
 Documents are dealt by ranges of their key, encoded, and written in key order: each task writes one shard file with the
-raw ids and, behind them, the index. The index is a minimal perfect hash over the shard's keys in levels: a key takes
-the first level at which it is alone in its slot, and its number is the rank of that slot among the taken ones. By that
-number the shard keeps the key's fingerprint and its place, so an access by key reads a few words and the ids themselves.
+raw ids and, behind them, the index; at file_bytes of ids a task goes on to the next file. The index is a minimal perfect hash over the shard's keys in levels: a key takes
+the first level at which it is alone in its slot, and its number is the rank of that slot among the taken ones, of which every 512th is kept. By that
+number the shard keeps the key's fingerprint and its place, so an access by key reads one block of slots a level, a few words and the ids themselves, however large the shard is.
 
 A shard file: ids (unsigned little-endian, 16 bits where the vocabulary allows it, else 32), index sections, a JSON
 directory of the sections, its length (8 bytes) and the mark. A manifest table lists the shards that committed tasks
@@ -11,7 +11,7 @@ wrote; files of failed attempts are in no manifest and count for nothing.
 
 Defined results: a null text counts as empty and holds the end id only; keys are integers; a null key is a key of its
 own below all others; rows of one key stand side by side, ordered by a hash of their text, and an access by key gives
-them all; if they are many they may reach over several shards, all of which are visited. An empty table has an empty
+them all; if they are many they may reach over several shards, all of which are visited. Texts of any length are encoded whole. An empty table has an empty
 manifest. Other columns are left out, whatever their names.
 """
 
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from tidelog.llm.bpe import byte_symbols, gathered
 from tidelog.llm.common import filled, open_fs, scratch, ship, stored
 
-MARK = b"TLSHARD1"
-MANIFEST = "shard int, path string, n_rows long, n_ids long, first_key long, last_key long, null_keys long"
+MARK = b"TLSHARD2"
+BLOCK = 512
+MANIFEST = "shard long, path string, n_rows long, n_ids long, first_key long, last_key long, null_keys long"
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -85,7 +86,7 @@ class PerfectHash:
 
 
 class Shard:
-    """One shard file, open for access by key."""
+    """One shard file, open for access by key. Its sections are read by position; load() takes the index into memory, for access to all of its keys."""
 
     def __init__(self, uri: str):
         store, path = open_fs(uri)
@@ -95,31 +96,117 @@ class Shard:
         if tail[8:] != MARK:
             raise ValueError(f"{uri} is no shard file")
         length = int.from_bytes(tail[:8], "little")
-        about = json.loads(self.file.read_at(length, size - 16 - length))
-        self.width, self.null_rows = about["width"], about["null_rows"]
-        get = lambda name: np.frombuffer(self.file.read_at(about[name][1], about[name][0]), about[name][2])
-        self.keys, self.starts = get("keys"), get("starts")
-        self.prints, self.row, self.rows = get("prints"), get("row"), get("rows")
-        self.hash = PerfectHash(about["sizes"], get("bits"))
+        self.about = json.loads(self.file.read_at(length, size - 16 - length))
+        self.width, self.null_rows, self.sizes = self.about["width"], self.about["null_rows"], self.about["sizes"]
+        self.loaded: dict[str, np.ndarray] = {}
+        self.hash: PerfectHash | None = None
+
+    def load(self) -> Shard:
+        self.loaded = {name: self.get(name) for name in ("keys", "starts", "prints", "row", "rows")}
+        self.hash = PerfectHash(self.sizes, self.get("bits"))
+        return self
+
+    def get(self, name: str, at: int = 0, n: int | None = None) -> np.ndarray:
+        """n values of a section from number `at` on; all of them by default."""
+        if name in self.loaded:
+            return self.loaded[name][at : None if n is None else at + n]
+        place, length, kind = self.about[name]
+        width = np.dtype(kind).itemsize
+        length = length - at * width if n is None else min(n * width, length - at * width)
+        return np.frombuffer(self.file.read_at(length, place + at * width), kind)
+
+    def _number(self, key: int) -> int:
+        """The number of one key, by a block of slots for each level that it was not alone at; -1 if no level takes it."""
+        one, base = np.array([key], np.int64).astype(np.uint64), 0
+        for level, size in enumerate(self.sizes):
+            slot = base + int(mixed(one, level)[0] % np.uint64(size))
+            block = np.unpackbits(self.get("bits", slot // BLOCK * (BLOCK // 8), BLOCK // 8))
+            if block[slot % BLOCK]:
+                return int(self.get("ranks", slot // BLOCK, 1)[0]) + int(block[: slot % BLOCK].sum())
+            base += size
+        return -1
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first row, number of rows) of each key; no rows where the fingerprint tells that the key is not there."""
-        at = self.hash.number(keys)
-        found = at >= 0
-        found[found] = self.prints[at[found]] == fingerprint(keys[found].astype(np.uint64))
-        at = np.where(found, at, 0)
-        return np.where(found, self.row[at], 0), np.where(found, self.rows[at], 0) if len(self.rows) else np.zeros(len(keys), np.int64)
-
-    def ids(self, row: int, rows: int = 1) -> list[np.ndarray]:
-        """The ids of neighbouring rows, by one read."""
-        ends = self.starts[row : row + rows + 1].astype(np.int64)
+        at = self.hash.number(keys) if self.hash else np.array([self._number(int(k)) for k in keys], np.int64)
+        prints, row, rows = fingerprint(keys.astype(np.uint64)), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if self.hash:
+            here = np.flatnonzero(at >= 0)
+            here = here[self.loaded["prints"][at[here]] == prints[here]]
+            row[here], rows[here] = self.loaded["row"][at[here]], self.loaded["rows"][at[here]]
+            return row, rows
+        for i in np.flatnonzero(at >= 0):
+            if self.get("prints", at[i], 1)[0] == prints[i]:
+                row[i], rows[i] = self.get("row", at[i], 1)[0], self.get("rows", at[i], 1)[0]
+        return row, rows
+
+    def ids(self, row: int, rows: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(first places, ids) of neighbouring rows, by one read."""
+        ends = self.get("starts", row, rows + 1).astype(np.int64)
         raw = np.frombuffer(self.file.read_at(int(ends[-1] - ends[0]) * self.width, int(ends[0]) * self.width), f"<u{self.width}")
-        return np.split(raw, ends[1:-1] - ends[0])
+        return ends[:-1], np.split(raw, ends[1:-1] - ends[0])
 
     def close(self) -> None:
         self.file.close()
 
 
+class ShardFile:
+    """A shard file while it is written."""
+
+    def __init__(self, uri: str, shard: int, width: int):
+        store, to = open_fs(uri)
+        store.create_dir(to.rpartition("/")[0], recursive=True)
+        self.uri, self.shard, self.width, self.out = uri, shard, width, store.open_output_stream(to)
+        self.keys, self.lengths, self.n_null, self.bytes = [], [], 0, 0
+
+    def add(self, keys: pa.Array, ids: np.ndarray, number: np.ndarray) -> None:
+        """Rows in ascending key order, null first: their keys, all their ids, and the number of ids of each."""
+        self.out.write(raw := ids.tobytes())
+        self.bytes += len(raw)
+        self.lengths.append(number)
+        self.n_null += keys.null_count
+        self.keys.append(keys.drop_null().to_numpy())
+
+    def close(self) -> dict:
+        """Writes the index; the shard's row in the manifest."""
+        keys, lengths = np.concatenate(self.keys), np.concatenate(self.lengths)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+        own, first, count = np.unique(keys, return_index=True, return_counts=True)
+        made = PerfectHash.build(own)
+        at = made.number(own)
+        prints, row, number = np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4")
+        prints[at], row[at], number[at] = fingerprint(own), first + self.n_null, count
+        place, about = self.bytes, {"width": self.width, "null_rows": self.n_null, "sizes": made.sizes}
+        for name, data in (("keys", own.astype("<i8")), ("starts", starts), ("prints", prints), ("row", row), ("rows", number), ("bits", made.bits), ("ranks", made.rank[::BLOCK].astype("<u4"))):
+            self.out.write(raw := data.tobytes())
+            about[name] = [place, len(raw), data.dtype.str]
+            place += len(raw)
+        self.out.write(listed := json.dumps(about).encode())
+        self.out.write(len(listed).to_bytes(8, "little") + MARK)
+        self.out.close()
+        first_key, last_key = (int(own[0]), int(own[-1])) if len(own) else (None, None)
+        return {"shard": self.shard, "path": self.uri, "n_rows": len(lengths), "n_ids": int(starts[-1]), "first_key": first_key, "last_key": last_key, "null_keys": self.n_null}
+
+
+#: The normaliser and the pre-tokeniser that the cuts of WordEncoder rest on.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_at_blanks(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits as WordEncoder's cuts take for granted, and all its added tokens are special ones between <| and |>."""
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    added = all(x["content"].startswith("<|") and x["content"].endswith("|>") and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"]) for x in about.get("added_tokens") or [])
+    return added and about.get("normalizer") == NORMALISER and about.get("pre_tokenizer") == SPLITTER and (about.get("model") or {}).get("type") == "BPE"
+
+
 class WordEncoder:
     """The tokenizers library over whole texts, with words remembered in a bounded cache.
 
@@ -128,7 +215,7 @@ class WordEncoder:
     but not where a special token could come about, nor before a combining mark, as the normaliser composes the two before
     it lowers and some pairs compose in lower case only. A word of plain letters and marks (which the normaliser leaves as they
     are but for case) goes to the library's model in runs of either, as the vocabulary's pattern cuts it; any other word
-    goes through the library's whole pipeline.
+    goes through the library's whole pipeline. All this holds for vocabularies that cuts_at_blanks() knows; with any other the library gets whole texts.
     """
 
     PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ.,;:!?()&%$#*\"/+=_-]+")
@@ -146,6 +233,7 @@ class WordEncoder:
         self.width = array(self.kind).itemsize
         self.symbols = byte_symbols()
         self.cached, self.of, self.of_run = cached, {}, {}
+        self.cuts = cuts_at_blanks(path)
 
     def _run(self, run: str) -> bytes:
         found = self.of_run.get(run)
@@ -174,6 +262,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.cuts:
+            found = [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, f"<u{self.width}"), *found]), np.array([len(x) for x in found], np.int64)
         as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.MARKED))
         split = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
@@ -200,7 +291,7 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, path: str | None = None) -> DataFrame:
+def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, path: str | None = None, file_bytes: int = 256 << 20) -> DataFrame:
     """Encodes the texts, writes shards in ascending key order under path (the shared folder's, if not given), returns the manifest."""
     spark = docs.sparkSession
     ship(spark)
@@ -209,43 +300,23 @@ def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
     rows = docs.select(F.col(key).cast("long").alias("_key"), filled(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash")
 
+    names = pa.schema([("shard", pa.int64()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_rows", "n_ids", "first_key", "last_key", "null_keys"))])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(vocabulary), TaskContext.get()
-        uri = f"{home}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
-        out, lengths, keys, n_null, n_ids = None, [], [], 0, 0
-        width = encoder.width
+        file, n = None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                if out is None:
-                    store, to = open_fs(uri)
-                    store.create_dir(to.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(to)
+                if file is None:
+                    file, n = ShardFile(f"{home}/shard-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.tokens", (task.partitionId() << 32) + n, encoder.width), n + 1
                 ids, number = encoder.encode(part.column(1))
-                out.write(np.insert(ids, np.cumsum(number), end_id).tobytes())
-                lengths.append(number + 1)
-                n_null += part.column(0).null_count
-                keys.append(part.column(0).drop_null().to_numpy())
-        if out is None:
-            return
-        keys, lengths = np.concatenate(keys), np.concatenate(lengths)
-        starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-        n_ids = int(starts[-1])
-        own, first, count = np.unique(keys, return_index=True, return_counts=True)
-        made = PerfectHash.build(own)
-        at = made.number(own)
-        prints, row, number = np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4")
-        prints[at], row[at], number[at] = fingerprint(own), first + n_null, count
-        place, about = n_ids * width, {"width": width, "null_rows": n_null, "sizes": made.sizes}
-        for name, data in (("keys", own.astype("<i8")), ("starts", starts), ("prints", prints), ("row", row), ("rows", number), ("bits", made.bits)):
-            out.write(raw := data.tobytes())
-            about[name] = [place, len(raw), data.dtype.str]
-            place += len(raw)
-        out.write(listed := json.dumps(about).encode())
-        out.write(len(listed).to_bytes(8, "little") + MARK)
-        out.close()
-        one = {"shard": task.partitionId(), "path": uri, "n_rows": len(lengths), "n_ids": n_ids, "first_key": int(own[0]) if len(own) else None, "last_key": int(own[-1]) if len(own) else None, "null_keys": n_null}
-        yield pa.RecordBatch.from_pylist([one], pa.schema([("shard", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_rows", "n_ids", "first_key", "last_key", "null_keys"))]))
+                file.add(part.column(0), np.insert(ids, np.cumsum(number), end_id), number + 1)
+                if file.bytes >= file_bytes:
+                    yield pa.RecordBatch.from_pylist([file.close()], names)
+                    file = None
+        if file is not None:
+            yield pa.RecordBatch.from_pylist([file.close()], names)
 
     return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
 
@@ -262,11 +333,11 @@ def read_store(manifest: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in (x for b in batches for x in b.select(["path", "start"]).to_pylist()):
-            shard = Shard(one["path"])
+            shard = Shard(one["path"]).load()
             if shard.null_rows:
                 yield from _rows(shard, one["start"], [None], np.array([0]), np.array([shard.null_rows]))
-            for at in range(0, len(shard.keys), 512):
-                keys = shard.keys[at : at + 512]
+            for at in range(0, len(shard.loaded["keys"]), 512):
+                keys = shard.get("keys", at, 512)
                 row, rows = shard.places(keys)
                 if not rows.all():
                     raise ValueError(f"{one['path']}: a key is not in its own index")
@@ -283,14 +354,15 @@ def _rows(shard: Shard, start: int, keys, row: np.ndarray, rows: np.ndarray, mos
     for at in range(0, len(places), most):
         here, of = places[at : at + most], each[at : at + most]
         if len(here) and here[-1] - here[0] + 1 == len(here) and (np.diff(here) == 1).all():
-            ids = shard.ids(int(here[0]), len(here))
+            first, ids = shard.ids(int(here[0]), len(here))
         else:
-            ids = [shard.ids(int(x))[0] for x in here]
+            each_one = [shard.ids(int(x)) for x in here]
+            first, ids = np.array([a[0] for a, _ in each_one]), [x for _, own in each_one for x in own]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([None if keys[i] is None else int(keys[i]) for i in of], pa.int64()),
-                pa.array(start + shard.starts[here].astype(np.int64), pa.int64()),
+                pa.array(start + first, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
             ],
             names=["doc_id", "start", "ids"],
@@ -308,6 +380,8 @@ def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
             here = wanted[(wanted >= one["first_key"]) & (wanted <= one["last_key"])]
             if len(here):
                 shard = Shard(one["path"])
+                if 64 * len(here) > one["n_rows"]:  # many of the shard's keys: the whole index is less than their blocks
+                    shard.load()
                 row, rows = shard.places(here)
                 yield from _rows(shard, one["start"], here, row, rows)
                 shard.close()
