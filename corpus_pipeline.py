@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, lines, simhash, toxicity
-from tidelog.llm.common import scratch, table
+from tidelog.llm.common import fresh, scratch, table
 from tidelog.llm.queries import vocabulary
 
 #: A document with this score or more is rejected.
@@ -25,7 +25,8 @@ def _same(found: DataFrame, docs: DataFrame) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, unchanged."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    (name,) = fresh(docs.columns, "_score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
