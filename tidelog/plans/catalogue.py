@@ -488,9 +488,9 @@ def range_windows(spark, d):
 
 
 @query(
-    """select event_id, len(string_split(props, ',')) as n_parts, list_contains(string_split(event_type, 'i'), 'v') as has_v, array_to_string(list_reverse(string_split(event_type, 'i')), '+') as turned,
+    """select event_id, cast(len(string_split(props, ',')) as bigint) as n_parts, list_contains(string_split(event_type, 'i'), 'v') as has_v, array_to_string(list_reverse(string_split(event_type, 'i')), '+') as turned,
     regexp_replace(event_type, '[aeiou]+', '_', 'g') as bare, regexp_extract(props, '([0-9]+)', 1) as digits, regexp_matches(event_type, '^(click|view)$') as seen,
-    map([event_type, 'n'], [user_id, event_id])['n'] as n, list_sum([user_id, event_id, 1]) as total from events"""
+    map([event_type, 'n'], [user_id, event_id])['n'] as n, cast(list_sum([user_id, event_id, 1]) as bigint) as total from events"""
 )
 def collection_functions(spark, d):
     """Arrays, maps, regular expressions."""
