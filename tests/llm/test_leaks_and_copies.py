@@ -140,6 +140,35 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_spread(spark, how):
+    from tidelog.llm.common import spread_join
+
+    rows = [(7, i) for i in range(3000)] + [(8, None)] * 40 + [(i, i) for i in range(100, 2000)] + [(99, 1)]
+    left = spark.createDataFrame(rows, "k long, _part long")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("_part").alias("top")).where("k <> 99")
+    got = spread_join(left, right, ["k"], weight="n", total=left.count(), salt=F.xxhash64("_part"), how=how, share=100)
+    assert got.columns == ["k", "_part", "n", "top"]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, left.join(right, "k", how).collect()))
+    was = {x: spark.conf.get(x) for x in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for x, y in zip(was, ("-1", "false"), strict=True):
+            spark.conf.set(x, y)
+        most = lambda df: max(r[1] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)), F.max("top")).collect())
+        spread = spread_join(left, right, ["k"], weight="n", total=left.count(), salt=F.xxhash64("_part"), how=how, share=100)
+        assert most(spread) < 1500 < 3000 <= most(left.join(right, "k", how))
+    finally:
+        for x, y in was.items():
+            spark.conf.set(x, y)
+
+
+def test_a_hub_and_a_large_component(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(3000, 5000)]
+    got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {i: 3000 for i in range(3001, 5001)}
+
+
 def test_copies_by_hand(spark, lowered, odd_texts):
     R = random.Random(5)
     base = [" ".join(R.choice("red blue green grey black white pink".split()) + str(R.randrange(30)) for _ in range(120)) for _ in range(6)]

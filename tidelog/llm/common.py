@@ -64,6 +64,21 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], *, weight: str, total: int, salt: Column, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left joined with right, in which no key is found twice, so that no task gets a hot key whole.
+
+    weight: right's column of how many rows of left have the key; their sum is at most total. A key of more than a `share`-th of total
+    is dealt to as many parts as its weight has such shares, by salt, which must be the same whenever a row is computed again. Fewer than
+    `share` keys are so large: they alone are broadcast. Their rows of right are repeated once a part, fewer than 2 x `share` in all. Keys are not null.
+    """
+    parts, part = fresh([*left.columns, *right.columns], "_parts", "_part")
+    sized = right.withColumn(parts, F.ceil(F.col(weight) * share / F.lit(max(total, 1))))
+    hot = sized.where(F.col(parts) > 1).select(*on, parts)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn(part, F.coalesce(F.pmod(salt, F.col(parts)), F.lit(0).cast("long"))).drop(parts)
+    copies = sized.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copies, [*on, part], how).drop(part)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a path or URI in the shared folder."""
     from pyarrow import fs

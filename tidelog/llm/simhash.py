@@ -4,7 +4,8 @@ Fingerprints are reduced to distinct ones. Two that differ in at most three bits
 each is dealt to ten shards, one for each pair of blocks, by those blocks' bits. In each shard a BK-tree is built:
 a child's key is its Hamming distance to the parent, and a search at distance d from a node follows only the edges from
 d - 3 to d + 3. A shard emits a spanning forest of its links. Links become components by rounds of large-star and
-small-star over stored tables.
+small-star over stored tables. A fingerprint that very many rows share, a hub and a very large component are each dealt to
+many tasks.
 
 The trees live in the tasks that own their shards. Broadcasting them would broadcast the corpus's fingerprints, whose
 number has no bound. A shard of more than `most` fingerprints is cut into chunks, and each pair of chunks is a cell of
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, fresh, release_memory, ship, stored
+from tidelog.llm.common import filled, fresh, release_memory, ship, spread_join, stored
 from tidelog.llm.common import own as whole
 
 #: Widths of the blocks of bits, from the lowest. Two fingerprints at distance 3 agree in two of the five at least.
@@ -193,39 +194,44 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v): each vertex of edges but a component's smallest, with that smallest."""
     pairs = lambda df: df.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(pairs(edges), "edges")
-    state = None
+    n, state = edges.count(), None
+    met = lambda some, least, most: spread_join(some, least, ["u"], weight="_n", total=most, salt=F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        edges = stored(pairs(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large-star")
-        least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-        edges = stored(pairs(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))), "small-star")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        edges = stored(pairs(met(both.where(F.col("v") > F.col("u")), least, 2 * n)), "large-star")
+        least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        edges = stored(pairs(met(edges, least, edges.count()).unionByName(least.select("u", F.col("m").alias("v")))), "small-star")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == state:
             return edges
-        state = now
+        n, state = now[0], now
 
 
 def _classes(docs: DataFrame, key: str, text: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, row, fp) of every row and, of every fp, (fp, component_id, _root)."""
+    """(doc, row, fp) of every row and, of every fp, (fp, component_id, _root, _rows)."""
     own = stored(fingerprints(docs, key=key, text=text), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc").alias("_least")), "distinct")
+    distinct = stored(own.groupBy("fp").agg(F.min("doc").alias("_least"), F.count(F.lit(1)).alias("_rows")), "distinct")
     stars = components(links(distinct.select("fp"), most))
-    rooted = distinct.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "_least", F.coalesce("v", "fp").alias("_root"))
-    smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return own, stored(rooted.join(smallest, "_root").select("fp", "component_id", "_root"), "labels")
+    rooted = distinct.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "_least", "_rows", F.coalesce("v", "fp").alias("_root"))
+    smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    labelled = spread_join(rooted, smallest, ["_root"], weight="_n", total=distinct.count(), salt=F.col("fp"))
+    return own, stored(labelled.select("fp", "component_id", "_root", "_rows"), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 16_384) -> DataFrame:
     """(key, fingerprint, component_id) of every row: 16 hex digits, and the smallest key that is reachable over links."""
     own, labels = _classes(docs, key, text, most)
-    return own.join(labels, "fp").select(F.col("doc").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # own is read from files, so a row's number is the same whenever it is read again
+    joined = spread_join(own, labels, ["fp"], weight="_rows", total=own.count(), salt=F.monotonically_increasing_id())
+    return joined.select(F.col("doc").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 16_384) -> DataFrame:
     """One row of docs for each component: that of the smallest key, rows without a key last; of repeated rows, one."""
     own, labels = _classes(docs, key, text, most)
-    first = own.join(labels, "fp").groupBy("_root").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("row").alias("r"))).alias("x"))
+    least = own.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("row").alias("r"))).alias("x"))
+    first = least.join(labels, "fp").groupBy("_root").agg(F.min("x").alias("x"))
     copies = own.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("_copies"))
     kept = stored(first.select(F.col("x.d").alias("_d"), F.col("x.r").alias("_r")).join(copies, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_r") == F.col("row"))).select("_d", "_r", "_copies"), "kept")
     row, d, r, n = fresh(docs.columns, "_row", "_d", "_r", "_copies")

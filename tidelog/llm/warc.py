@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from tidelog.llm.common import open_fs, scratch, ship, stored
+from tidelog.llm.common import open_fs, scratch, ship, spread_join, stored
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, content_type string, payload binary, path string, offset long"
 #: Columns that are read from headers, with the header of each.
@@ -433,7 +433,8 @@ def write_archive(pages: DataFrame, path: str | None = None, *, key: str = "page
     own = pages.select(F.col(key).alias("_key"), F.col(uri).cast("string").alias("target_uri"), F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("_sha", F.sha1("payload"))
     shared = own.where(F.octet_length("payload") >= least).groupBy("_sha").agg(F.max("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & F.col("_first").isNotNull())
     # stored, so that its size is known when the join is planned: bodies are shuffled only if what they share is too much to send around
-    joined = own.join(stored(shared.select("_sha", "_first"), "shared"), "_sha", "left")
+    shared = stored(shared.select("_sha", "_first", "_n"), "shared")
+    joined = spread_join(own, shared, ["_sha"], weight="_n", total=shared.agg(F.sum("_n")).first()[0] or 0, salt=F.xxhash64("_key", "target_uri"), how="left")
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     again = F.col("_first").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
     rows = joined.select(
