@@ -197,34 +197,44 @@ def item_parts(items: DataFrame, *, item: str = "item_id", text: str = "text", w
     yield part
 
 
-def _matched(docs: DataFrame, part: list, window: int, text: str) -> DataFrame:
+def _scanned(docs: DataFrame, part: list, window: int, text: str):
+    """A function of a task's batches: slices of rows, each with the numbers of words of its texts and what a scan finds in them."""
     import hashlib
 
     ship(docs.sparkSession)
     raw = pickle.dumps((window, part))
     digest, held = hashlib.sha256(raw).hexdigest(), docs.sparkSession.sparkContext.broadcast(raw)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_n_words long, _spans array<struct<a: int, b: int>>, _items array<string>").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[tuple[list[tuple[int, int]], set[str]]]]]:
         made = None
         for batch in batches:
             made = made or _automaton(digest, held.value)
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
                 split = [words(x) for x in rows.column(at).to_pylist()]
-                found = [made.scan(x) for x in split]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns,
-                        pa.array([len(x) for x in split], pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in spans] for spans, _ in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                        pa.array([sorted(own) for _, own in found], pa.list_(pa.string())),
-                    ],
-                    names=schema.names,
-                )
+                yield rows, [len(x) for x in split], [made.scan(x) for x in split]
         release_memory()
 
+    return scan
+
+
+def _matched(docs: DataFrame, part: list, window: int, text: str) -> DataFrame:
+    scan = _scanned(docs, part, window, text)
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_n_words long, _spans array<struct<a: int, b: int>>, _items array<string>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n_words, found in scan(batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *rows.columns,
+                    pa.array(n_words, pa.int64()),
+                    pa.array([[{"a": a, "b": b} for a, b in spans] for spans, _ in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                    pa.array([sorted(own) for _, own in found], pa.list_(pa.string())),
+                ],
+                names=schema.names,
+            )
+
     return docs.mapInArrow(run, schema)
 
 
@@ -235,11 +245,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item: s
     second = next(parts, None)
     if second is None:
         return _matched(docs, first, window, text)
-    # one pass for each part; what they find meets by document
+    keyed, met = _met(docs, _chain(first, second, parts), window, text)
+    counted = _matched(keyed, [], window, text).drop("_spans", "_items")
+    return _joined(counted, met, [*docs.columns, "_n_words"])
+
+
+def _met(docs: DataFrame, parts: Iterator[list], window: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """docs with two hashes of the text, (_row1, _row2); by these, the _spans and _items of all parts. One pass for each part; what they find meets by document."""
     keyed = docs.withColumn("_row1", F.xxhash64(filled(text))).withColumn("_row2", F.xxhash64(F.concat(F.lit("row:"), filled(text))))
     narrow = keyed.select("_row1", "_row2", F.col(text).alias("_text"))
     passes = []
-    for part in _chain(first, second, parts):
+    for part in parts:
         passes.append(stored(_matched(narrow, part, window, "_text").where(F.size("_items") > 0).select("_row1", "_row2", "_spans", "_items").dropDuplicates(["_row1", "_row2"]), "leaks"))
     met = reduce(DataFrame.unionByName, passes).groupBy("_row1", "_row2").agg(F.array_sort(F.flatten(F.collect_list("_spans"))).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
     # overlapping spans of several passes become one
@@ -248,10 +264,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item: s
         F.array().cast("array<struct<a: int, b: int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    met = met.select("_row1", "_row2", joined.alias("_spans"), "_items")
-    counted = _matched(keyed, [], window, text).drop("_spans", "_items")
+    return keyed, met.select("_row1", "_row2", joined.alias("_spans"), "_items")
+
+
+def _joined(keyed: DataFrame, met: DataFrame, names: list[str]) -> DataFrame:
     none = F.array().cast("array<struct<a: int, b: int>>")
-    return counted.join(met, ["_row1", "_row2"], "left").select(*docs.columns, "_n_words", F.coalesce("_spans", none).alias("_spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
+    return keyed.join(met, ["_row1", "_row2"], "left").select(*names, F.coalesce("_spans", none).alias("_spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
 
 
 def _chain(first, second, rest):
@@ -260,25 +278,41 @@ def _chain(first, second, rest):
     yield from rest
 
 
-def cut_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", window: int = 8, min_items: int = 1, max_coverage: float = 0.5, **named) -> DataFrame:
+def cut_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, most_words: int = 250_000, min_items: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """docs without the hit spans of documents in which at least min_items items occur; without those documents of whose words more than the share max_coverage is hit.
 
     A span goes from its first word's first byte to its last word's last; a blank takes its place. Texts without hits stay as they are.
+    One Python worker a task finds and cuts: workers live on, and the next operator's memory would be held by each.
     """
-    ship(docs.sparkSession)
-    found = find_leaks(docs, items, text=text, window=window, **named)
-    hit = F.aggregate("_spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
-    found = found.where((F.size("_items") < min_items) | (hit <= F.lit(max_coverage) * F.col("_n_words")))
     at, names = docs.columns.index(text), docs.columns
+    parts = item_parts(items, item=item, text=item_text, window=window, most_words=most_words)
+    first = next(parts)
+    second = next(parts, None)
+
+    def cut(rows: pa.RecordBatch, n_words: list[int], found: list) -> pa.RecordBatch:
+        """The rows that stay, with their texts as cut."""
+        stay, out = [], []
+        for x, n, (spans, own) in zip(rows.column(at).to_pylist(), n_words, found, strict=True):
+            stay.append(len(own) < min_items or sum(b - a for a, b in spans) <= max_coverage * n)
+            out.append(without(x, spans) if stay[-1] and spans and len(own) >= min_items else x)
+        done = pa.RecordBatch.from_arrays([*rows.columns[:at], pa.array(out, rows.column(at).type), *rows.columns[at + 1 : len(names)]], names=names)
+        return done if all(stay) else done.filter(pa.array(stay, pa.bool_()))
+
+    if second is None:
+        scan = _scanned(docs, first, window, text)
+        return docs.mapInArrow(lambda batches: (cut(*x) for x in scan(batches)), docs.schema)
+    keyed, met = _met(docs, _chain(first, second, parts), window, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
-                out = [without(x, [(s["a"], s["b"]) for s in spans]) if spans and len(own) >= min_items else x for x, spans, own in zip(rows.column(at).to_pylist(), rows.column(len(names) + 1).to_pylist(), rows.column(len(names) + 2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:at], pa.array(out, rows.column(at).type), *rows.columns[at + 1 : len(names)]], names=names)
+                spans, own = ([[(s["a"], s["b"]) for s in x] for x in rows.column(len(names)).to_pylist()], rows.column(len(names) + 1).to_pylist())
+                n_words = [len(words(x)) if hit else 0 for x, hit in zip(rows.column(at).to_pylist(), spans, strict=True)]
+                yield cut(rows, n_words, list(zip(spans, own, strict=True)))
+        release_memory()
 
-    return found.mapInArrow(run, docs.schema)
+    return _joined(keyed, met, names).mapInArrow(run, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
