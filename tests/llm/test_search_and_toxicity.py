@@ -179,6 +179,21 @@ def test_sample_is_bounded_by_rows(spark):
     assert train(many, table).prior == one.prior
 
 
+def test_training_starts_no_workers_for_rows_of_a_list(spark, monkeypatch):
+    """Rows from a list go through Python workers of another kind than the operators' own; both kinds would be kept in every executor."""
+    from pyspark import RDD
+
+    rows = [(i, "bad words here" if i % 2 else "good words there") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+
+    def refused(self):
+        raise AssertionError("rows of a list")
+
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", refused)
+    assert train(docs, labels).weights
+
+
 def test_held_out_rows_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if not picked:
         return ToxicityModel(prior=prior)
     number = {x: i for i, x in enumerate(picked)}
-    wanted = F.broadcast(spark.createDataFrame([(x,) for x in picked], "_feature int"))  # at most max_features rows
+    # at most max_features rows; from Arrow, as rows from a list would go through Python workers of their own kind, which live on in every executor
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"_feature": pa.array(picked, pa.int32())})))
     flat = rows.withColumn("_n", F.monotonically_increasing_id()).select("_n", "_positive", F.explode("_features").alias("_feature")).join(wanted, "_feature")
     by: dict[bool, dict[int, list[int]]] = {True: {}, False: {}}
     for r in flat.groupBy("_n", "_positive").agg(F.collect_list("_feature").alias("x")).collect():  # bounded by the sample and max_features
