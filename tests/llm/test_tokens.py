@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import ByteBPE, PairTree, decode_documents, encode_documents, roundtrip_documents
-from tidelog.llm.token_store import PerfectHash, Shard, ShardFile, WordEncoder, cuts_at_blanks, fingerprint, lookup, read_store, with_crc, write_store
+from tidelog.llm.token_store import PerfectHash, Shard, ShardFile, WordEncoder, cuts_at_blanks, fingerprint, lookup, read_crc, read_store, with_crc, write_store
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -99,6 +99,32 @@ def test_words_with_capitals_before_marks(vocabulary):
         assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_that_differ_in_marks_are_learnt_once(vocabulary):
+    path = vocabulary("word_bpe_49k.json")
+    own, lib = WordEncoder(path, cached=40), library(path)
+    words = ["thonernt", "straße", "crème", "don", "x" * 70]
+    texts = [f"{w}{m} {m}{w} {w}{m}{w}, {w.upper()}{m}" for w in words for m in ("", ".", ",", "...", "$$$", "?!)", "'s", "’", "1", "\u0301", "<|endoftext|>")]
+    ids, number = own.encode(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(number)[:-1]), strict=True):
+        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    own = WordEncoder(path, cached=40)
+    own.encode(pa.array(["often, often. often"]))
+    assert "often" in own.of and not {"often,", "often."} & own.of.keys()
+    for i in range(20):  # a word that every batch holds outlives those that none asks for again
+        own.encode(pa.array(["often " + " ".join("abcdefghij"[i // 10] + "abcdefghij"[i % 10] + c for c in "abcdefghij")]))
+    held = own.of.keys() | own.old.keys()
+    assert "often" in held and "aaa" not in held and len(held) <= 2 * (40 + 11)
+
+
+def test_shards_are_read_and_summed_by_one_worker_a_task(spark, vocabulary):
+    docs = spark.createDataFrame([(3, "three words here"), (1, None), (None, "no key"), (2, "one"), (2, "one")], "doc_id long, text string")
+    manifest = write_store(docs, vocabulary("word_bpe_49k.json"))
+    own = read_crc(manifest)
+    assert str(own._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    want = with_crc(read_store(manifest))
+    assert own.schema == want.schema and sorted(own.collect(), key=str) == sorted(want.collect(), key=str) and own.count() == 5
+
+
 def test_perfect_hash():
     R = random.Random(1)
     for n in (0, 1, 2, 1000, 20_000):

@@ -15,10 +15,10 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.token_store import read_store, with_crc, write_store
+    from tidelog.llm.token_store import read_crc, write_store
 
     manifest = write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), end_id=1)
-    return with_crc(read_store(manifest))
+    return read_crc(manifest)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

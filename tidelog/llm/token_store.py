@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import byte_symbols, gathered
-from tidelog.llm.common import filled, open_fs, scratch, ship, stored
+from tidelog.llm.common import filled, open_fs, release_memory, scratch, ship, stored
 
 MARK = b"TLSHARD2"
 BLOCK = 512
@@ -208,22 +208,26 @@ def cuts_at_blanks(path: str) -> bool:
 
 
 class WordEncoder:
-    """The tokenizers library over whole texts, with words remembered in a bounded cache.
+    """The tokenizers library over whole texts, with words and runs remembered in a bounded cache.
 
     The vocabulary's pattern drops white space and lets no token reach over it, so a text's ids are those of its words
     between ASCII white space, one after the other. A-Z may be lowered first, as the vocabulary's normaliser lowers them,
     but not where a special token could come about, nor before a combining mark, as the normaliser composes the two before
     it lowers and some pairs compose in lower case only. A word of plain letters and marks (which the normaliser leaves as they
-    are but for case) goes to the library's model in runs of either, as the vocabulary's pattern cuts it; any other word
+    are but for case) goes to the library's model in runs of either, as the vocabulary's pattern cuts it. Letters with marks behind them, as
+    most words are, are cut in Arrow, so words that differ in their marks only are looked up once. Any other word
     goes through the library's whole pipeline. All this holds for vocabularies that cuts_at_blanks() knows; with any other the library gets whole texts.
+
+    The cache has a newer and an older part of `cached` entries each, and what a batch adds. When the newer is full it becomes the older; what is asked for again comes back as new.
     """
 
+    LETTERS, MARKS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", ".,;:!?()&%$#*\"/+=_-"
     PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ.,;:!?()&%$#*\"/+=_-]+")
     #: A capital before what may be a combining mark, in Arrow's syntax: all marks are from U+0300 on, none in U+2000-206F.
     MARKED = r"[A-Z][^\x00-\x{2ff}\x{2000}-\x{206f}]"
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -232,33 +236,46 @@ class WordEncoder:
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
         self.symbols = byte_symbols()
-        self.cached, self.of, self.of_run = cached, {}, {}
+        self.cached, self.of, self.old = cached, {}, {}
         self.cuts = cuts_at_blanks(path)
 
     def _run(self, run: str) -> bytes:
-        found = self.of_run.get(run)
+        found = self.of.get(run)
         if found is None:
-            own = run if run.isascii() else "".join([self.symbols[b] for b in run.encode()])
-            found = self.of_run[run] = array(self.kind, [x.id for x in self.tokenizer.model.tokenize(own)]).tobytes()
+            found = self.old.get(run)
+            if found is None:
+                own = run if run.isascii() else "".join([self.symbols[b] for b in run.encode()])
+                found = array(self.kind, [x.id for x in self.tokenizer.model.tokenize(own)]).tobytes()
+            if len(run) <= 64:
+                self.of[run] = found
         return found
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are new."""
-        if len(self.of) >= self.cached:
-            self.of.clear()
-        if len(self.of_run) >= self.cached:
-            self.of_run.clear()
-        found, other, plain, runs, run = {}, [], self.PLAIN.fullmatch, self.RUNS.findall, self._run
+        """The ids of words that are not in the cache's newer part."""
+        found, other, old, plain, runs, run = {}, [], self.old.get, self.PLAIN.fullmatch, self.RUNS.findall, self._run
         for w in words:
-            if plain(w):
+            if (x := old(w)) is not None:
+                found[w] = x
+            elif plain(w):
                 found[w] = b"".join(map(run, runs(w.lower())))
             else:
                 other.append(w)
         for w, x in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             found[w] = array(self.kind, x.ids).tobytes()
         self.of.update((w, x) for w, x in found.items() if len(w) <= 64)
+        if len(self.of) >= self.cached:
+            self.of, self.old = {}, self.of
         return found
 
+    def _known(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words."""
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.of.get, words))
+        if None in own:
+            new = self._learn([w for w, x in zip(words, own, strict=True) if x is None])
+            own = [new[w] if x is None else x for w, x in zip(words, own, strict=True)]
+        return own
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -268,15 +285,17 @@ class WordEncoder:
         as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.MARKED))
         split = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        own = list(map(self.of.get, words))
-        if None in own:
-            new = self._learn([w for w, x in zip(words, own, strict=True) if x is None])
-            own = [new[w] if x is None else x for w, x in zip(words, own, strict=True)]
-        flat = np.frombuffer(b"".join(own), f"<u{self.width}")
-        size = np.array([len(x) for x in own], np.int64) // self.width
-        ids, ends = gathered(flat, size, at)
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        head, tail = pc.utf8_rtrim(words, self.MARKS), pc.utf8_ltrim(words, self.LETTERS)
+        # letters and then marks, where the two make up the word: ids of either; else the word's as a whole
+        cut = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(tail)), pc.binary_length(words))
+        heads, tails = pc.if_else(cut, head, words).dictionary_encode(), pc.if_else(cut, tail, "").dictionary_encode()
+        of_head, of_tail = self._known(heads.dictionary), self._known(tails.dictionary)
+        flat = np.frombuffer(b"".join([*of_head, *of_tail]), f"<u{self.width}")
+        size = np.array([len(x) for x in [*of_head, *of_tail]], np.int64) // self.width
+        both = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(of_head)], 1)
+        ids, ends = gathered(flat, size, both[at].ravel())
+        return ids, np.diff(ends[2 * np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -306,8 +325,10 @@ def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
         encoder, task = _encoder(vocabulary), TaskContext.get()
         file, n = None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            # some 8 MB of text at once, 2048 rows at most: words that repeat are looked up once
+            step = max(1, min(2048, batch.num_rows * (8 << 20) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 if file is None:
                     file, n = ShardFile(f"{home}/shard-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.tokens", (task.partitionId() << 32) + n, encoder.width), n + 1
                 ids, number = encoder.encode(part.column(1))
@@ -317,6 +338,7 @@ def write_store(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
                     file = None
         if file is not None:
             yield pa.RecordBatch.from_pylist([file.close()], names)
+        release_memory()
 
     return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
 
@@ -328,23 +350,28 @@ def _each_shard(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for one in (x for b in batches for x in b.select(["path", "start"]).to_pylist()):
+        shard = Shard(one["path"]).load()
+        if shard.null_rows:
+            yield from _rows(shard, one["start"], [None], np.array([0]), np.array([shard.null_rows]))
+        for at in range(0, len(shard.loaded["keys"]), 512):
+            keys = shard.get("keys", at, 512)
+            row, rows = shard.places(keys)
+            if not rows.all():
+                raise ValueError(f"{one['path']}: a key is not in its own index")
+            yield from _rows(shard, one["start"], keys, row, rows)
+        shard.close()
+
+
 def read_store(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every row, each fetched from its shard by key through the index."""
+    return _each_shard(manifest).mapInArrow(_read, "doc_id long, start long, ids array<int>")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in (x for b in batches for x in b.select(["path", "start"]).to_pylist()):
-            shard = Shard(one["path"]).load()
-            if shard.null_rows:
-                yield from _rows(shard, one["start"], [None], np.array([0]), np.array([shard.null_rows]))
-            for at in range(0, len(shard.loaded["keys"]), 512):
-                keys = shard.get("keys", at, 512)
-                row, rows = shard.places(keys)
-                if not rows.all():
-                    raise ValueError(f"{one['path']}: a key is not in its own index")
-                yield from _rows(shard, one["start"], keys, row, rows)
-            shard.close()
 
-    return _each_shard(manifest).mapInArrow(read, "doc_id long, start long, ids array<int>")
+def read_crc(manifest: DataFrame) -> DataFrame:
+    """with_crc(read_store(manifest)) by one Python worker a task: workers live on, and each would hold what it once encoded with."""
+    return _each_shard(manifest).mapInArrow(lambda batches: _crc(_read(batches)), CRC)
 
 
 def _rows(shard: Shard, start: int, keys, row: np.ndarray, rows: np.ndarray, most: int = 512) -> Iterator[pa.RecordBatch]:
@@ -389,15 +416,18 @@ def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
     return _each_shard(manifest).mapInArrow(read, "doc_id long, start long, ids array<int>")
 
 
-def with_crc(rows: DataFrame) -> DataFrame:
-    """rows with n_tokens and ids_crc32, of the ids as little-endian unsigned 32-bit integers, in place of ids."""
+CRC = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        view = memoryview(flat.tobytes())
+        crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-            view = memoryview(flat.tobytes())
-            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def with_crc(rows: DataFrame) -> DataFrame:
+    """rows with n_tokens and ids_crc32, of the ids as little-endian unsigned 32-bit integers, in place of ids."""
+    return rows.mapInArrow(_crc, CRC)
