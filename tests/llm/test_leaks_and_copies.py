@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tests_llm_hand import cut_by_hand, hand_components, hand_fingerprint, hits_by_hand
 from tidelog.llm.decontaminate import SuffixAutomaton, cut_leaks, find_leaks
 from tidelog.llm.decontaminate import words as own_words
+from tidelog.llm import simhash
+from tidelog.llm.common import stored
 from tidelog.llm.simhash import BKForest, components, fingerprint, keep_one, linked, near_duplicates
 
 
@@ -189,6 +191,25 @@ def test_a_hub_and_a_large_component(spark):
     assert got == {i: 0 for i in range(1, 3000)} | {i: 3000 for i in range(3001, 5001)}
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(simhash, "stored", lambda df, name: made.append((name, stored(df, name))) or made[-1][1])
+    star = spark.createDataFrame([(x, 1) for x in range(2, 300)] + [(400, 399)], "u long, v long")
+    assert components(star).count() == 299 and [n for n, _ in made] == ["edges"]  # stars need no round
+    made.clear()
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = [f"{'a b c d e f g h i j k l m n o p ' * 9}{i} {i + 1}" for i in range(200)]
+        assert keep_one(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).count() <= 200
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    assert {"distinct", "labels", "kept"} <= {n for n, _ in made} and all(len(df.inputFiles()) <= most for n, df in made if n != "fingerprints"), [(n, len(df.inputFiles())) for n, df in made]
+
+
 def test_copies_by_hand(spark, lowered, odd_texts):
     R = random.Random(5)
     base = [" ".join(R.choice("red blue green grey black white pink".split()) + str(R.randrange(30)) for _ in range(120)) for _ in range(6)]

@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_parts(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df, of at most so many rows, in no more parts than they ask for: `each` rows a part, but a part for each core.
+
+    Without it a small table is as many files as shuffles have partitions, and Hadoop's local file system starts three processes for each of them.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the Python workers this package, once for each Spark application."""
     sc = spark.sparkContext

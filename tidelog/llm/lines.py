@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, fresh, own, scratch, stored
+from tidelog.llm.common import few_parts, filled, fresh, own, scratch, stored
 
 SPACES = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,10 +73,11 @@ class LineRuns:
         held = self.merged()
         return held if held is None else held.where(F.col("_docs") >= self.min_docs)
 
-    def add(self, lines: DataFrame) -> None:
-        """lines: (_h1, _h2, _doc), a row for each document and distinct line of the batch; keys below those of earlier batches."""
+    def add(self, lines: DataFrame, last: bool = False) -> None:
+        """lines: (_h1, _h2, _doc), a row for each document and distinct line of the batch; keys below those of earlier batches. After the last batch nothing is compacted, as merged() goes over all runs anyway."""
         self.levels[0].append(self._run(self.unsettled(lines.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper")))))
-        self._compact()
+        if not last:
+            self._compact()
 
     def unsettled(self, counted: DataFrame) -> DataFrame:
         """The lines of a batch, (_h1, _h2, _docs, _keeper), that the runs together don't count in enough documents yet."""
@@ -109,12 +110,10 @@ class LineRuns:
         self.tables, self.levels = [], [[]]
 
 
-def _cuts(docs: DataFrame, key: str, batches: int) -> list:
-    """Keys that cut the table into batches of near equal row counts, ascending; at most batches - 1 numbers reach the driver."""
-    if batches < 2:
-        return []
-    found = docs.select(F.percentile_approx(key, [i / batches for i in range(1, batches)], F.lit(10_000)).alias("q")).first()[0]
-    return sorted(set(found or []))
+def _cuts(docs: DataFrame, key: str, batches: int) -> tuple[list, int]:
+    """Keys that cut the table into batches of near equal row counts, ascending, at most batches - 1 of them; the number of rows."""
+    found, n = docs.select(F.percentile_approx(key, [i / max(batches, 1) for i in range(1, batches)] or [0.5], F.lit(10_000)).alias("q"), F.count(F.lit(1))).first()
+    return sorted(set(found or [])) if batches > 1 else [], n
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -125,18 +124,20 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     row = F.xxhash64(filled(text))
     split = F.split(filled(text), "\n", -1)
     cut = F.lit(0)
-    for x in _cuts(docs, key, batches):
+    cuts, n = _cuts(docs, key, batches)
+    for x in cuts:
         cut = cut + F.when(own(key) > F.lit(x), 1).otherwise(0)
     hashed = docs.select(own(key).alias("_doc"), row.alias("_row"), cut.alias("_batch"), line_hashes(split, min_chars).alias("_hashes"))
     long_lines = F.filter(F.transform("_hashes", lambda h, i: F.struct(i.alias("_pos"), h["_h1"].alias("_h1"), h["_h2"].alias("_h2"))), lambda x: x["_h1"].isNotNull())
-    sketch = stored(hashed.select("_doc", "_row", "_batch", long_lines.alias("_lines")).where(F.size("_lines") > 0), "lines", partition_by=("_batch",))
+    # each task writes a folder and a file for every batch: not for a handful of documents
+    sketch = stored(few_parts(hashed.select("_doc", "_row", "_batch", long_lines.alias("_lines")).where(F.size("_lines") > 0), n, each=2_000), "lines", partition_by=("_batch",))
 
     runs = LineRuns(min_docs, fanout)
     try:
         for i in reversed(range(batches)):
             batch = sketch.where(F.col("_batch") == i)
             distinct = F.array_distinct(F.transform("_lines", lambda x: F.struct(x["_h1"].alias("_h1"), x["_h2"].alias("_h2"))))
-            runs.add(batch.select("_doc", F.explode(distinct).alias("_h")).select("_h._h1", "_h._h2", "_doc"))
+            runs.add(batch.select("_doc", F.explode(distinct).alias("_h")).select("_h._h1", "_h._h2", "_doc"), last=i == 0)
         settled = stored(runs.settled().select("_h1", "_h2", "_keeper"), "settled")
     finally:
         runs.close()
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     gone = lost.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
     # stored, so that its size is known when the join is planned: texts are exchanged only if it is too much to send around
     doc_, row_, row2_, gone_, split_, kept_ = fresh(docs.columns, "_doc", "_row", "_row2", "_gone", "_split", "_kept")
-    gone = stored(gone, "gone").select(F.col("_doc").alias(doc_), F.col("_row").alias(row2_), F.col("_gone").alias(gone_))
+    gone = stored(few_parts(gone, n, each=10_000), "gone").select(F.col("_doc").alias(doc_), F.col("_row").alias(row2_), F.col("_gone").alias(gone_))
     both = docs.withColumn(row_, row).join(gone, own(key).eqNullSafe(F.col(doc_)) & (F.col(row_) == F.col(row2_)), "left")
     # the kept lines: the slices between dropped places
     lines, place = F.split(filled(text), "\n", -1), F.col(gone_)

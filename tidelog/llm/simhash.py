@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filled, fresh, release_memory, ship, spread_join, stored
+from tidelog.llm.common import few_parts, filled, fresh, release_memory, ship, spread_join, stored
 from tidelog.llm.common import own as whole
 
 #: Widths of the blocks of bits, from the lowest. Two fingerprints at distance 3 agree in two of the five at least.
@@ -190,33 +190,39 @@ def links(distinct: DataFrame, most: int = 16_384) -> DataFrame:
     return cells.mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): each vertex of edges but a component's smallest, with that smallest."""
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u is found once and is no v: then each v is the smallest of its component, as u > v."""
+    ends = edges.select(F.col("u").alias("_x"), F.lit(1).alias("_u"), F.lit(0).alias("_v")).unionByName(edges.select(F.col("v").alias("_x"), F.lit(0).alias("_u"), F.lit(1).alias("_v")))
+    return ends.groupBy("_x").agg(F.sum("_u").alias("_u"), F.max("_v").alias("_v")).where(F.col("_u") + F.col("_v") > 1).isEmpty()
+
+
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(u, v): each vertex of edges but a component's smallest, with that smallest. most: about how many rows edges are at most, if known."""
     pairs = lambda df: df.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = stored(pairs(edges), "edges")
-    n, state = edges.count(), None
+    edges = stored(pairs(edges) if most is None else few_parts(pairs(edges), most), "edges")
     met = lambda some, least, most: spread_join(some, least, ["u"], weight="_n", total=most, salt=F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    while True:
+    while not _are_stars(edges):
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "least")
-        edges = stored(pairs(met(both.where(F.col("v") > F.col("u")), least, 2 * n)), "large-star")
-        least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "least")
-        edges = stored(pairs(met(edges, least, edges.count()).unionByName(least.select("u", F.col("m").alias("v")))), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges
-        n, state = now[0], now
+        least = stored(few_parts(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), 2 * n), "least")
+        edges = stored(few_parts(pairs(met(both.where(F.col("v") > F.col("u")), least, 2 * n)), n), "large-star")
+        n = edges.count()
+        least = stored(few_parts(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), n), "least")
+        edges = stored(few_parts(pairs(met(edges, least, n).unionByName(least.select("u", F.col("m").alias("v")))), 2 * n), "small-star")
+    return edges
 
 
 def _classes(docs: DataFrame, key: str, text: str, most: int) -> tuple[DataFrame, DataFrame]:
     """(doc, row, fp) of every row and, of every fp, (fp, component_id, _root, _rows)."""
     own = stored(fingerprints(docs, key=key, text=text), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc").alias("_least"), F.count(F.lit(1)).alias("_rows")), "distinct")
-    stars = components(links(distinct.select("fp"), most))
+    distinct = stored(few_parts(own.groupBy("fp").agg(F.min("doc").alias("_least"), F.count(F.lit(1)).alias("_rows")), own.count()), "distinct")
+    n = distinct.count()
+    # each of the ten shards of a fingerprint links it to one other at most, but where shards are cut into chunks
+    stars = components(links(distinct.select("fp"), most), 10 * n)
     rooted = distinct.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "_least", "_rows", F.coalesce("v", "fp").alias("_root"))
     smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    labelled = spread_join(rooted, smallest, ["_root"], weight="_n", total=distinct.count(), salt=F.col("fp"))
-    return own, stored(labelled.select("fp", "component_id", "_root", "_rows"), "labels")
+    labelled = spread_join(rooted, smallest, ["_root"], weight="_n", total=n, salt=F.col("fp"))
+    return own, stored(few_parts(labelled.select("fp", "component_id", "_root", "_rows"), n), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 16_384) -> DataFrame:
@@ -233,7 +239,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most:
     least = own.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("row").alias("r"))).alias("x"))
     first = least.join(labels, "fp").groupBy("_root").agg(F.min("x").alias("x"))
     copies = own.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("_copies"))
-    kept = stored(first.select(F.col("x.d").alias("_d"), F.col("x.r").alias("_r")).join(copies, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_r") == F.col("row"))).select("_d", "_r", "_copies"), "kept")
+    kept = first.select(F.col("x.d").alias("_d"), F.col("x.r").alias("_r")).join(copies, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_r") == F.col("row"))).select("_d", "_r", "_copies")
+    kept = stored(few_parts(kept, labels.count()), "kept")
     row, d, r, n = fresh(docs.columns, "_row", "_d", "_r", "_copies")
     rows, kept = docs.withColumn(row, F.xxhash64(filled(text))), kept.toDF(d, r, n)
     of = lambda some: rows.join(some, whole(key).eqNullSafe(F.col(d)) & (F.col(row) == F.col(r)), "left_semi")
