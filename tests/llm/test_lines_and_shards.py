@@ -7,6 +7,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tests_llm_hand import lines_by_hand
+from tidelog.llm import lines
+from tidelog.llm.common import stored
 from tidelog.llm.lines import LineRuns, _two, dedup_lines
 from tidelog.llm.shards import balanced_shards, write_shards
 
@@ -107,3 +109,16 @@ def test_written_shards(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "s"))
     assert got.count() == 50 and got.select("shard").distinct().count() == 4
     assert got.where("length(text) <> doc_id").count() == 0
+
+
+def test_small_tables_of_lines_are_few_files(spark, monkeypatch):
+    made, runs, run = [], [], LineRuns._run
+    monkeypatch.setattr(lines, "stored", lambda df, name, **how: made.append((name, stored(df, name, **how))) or made[-1][1])
+    monkeypatch.setattr(LineRuns, "_run", lambda self, rows: runs.append(1) or run(self, rows))
+    line = "a line of more than forty code points, found in all"
+    docs = spark.range(0, 400, 1, 50).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.col("id").cast("string")).alias("text"))
+    got = {r.doc_id: (r.text, r._n_dropped) for r in dedup_lines(docs).collect()}
+    assert got == {i: (f"{line}\n{i}", 0) if i == 399 else (str(i), 1) for i in range(400)}
+    most, files = spark.sparkContext.defaultParallelism, {n: len(df.inputFiles()) for n, df in made}
+    assert files["lines"] <= 4 * most and files["gone"] <= most, files
+    assert len(runs) == 6  # four batches, one compaction, two runs as one at the end
