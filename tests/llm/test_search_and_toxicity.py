@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.llm import toxicity
+from tidelog.llm.common import stored
 from tidelog.llm.topk import Search, _seeded, distances, exact_top_k, far_apart
 from tidelog.llm.toxicity import ToxicityModel, features, fit_nnpu, held_out, score, train
 
@@ -194,6 +196,26 @@ def test_training_starts_no_workers_for_rows_of_a_list(spark, monkeypatch):
     assert train(docs, labels).weights
 
 
+def test_sample_is_few_files(spark, monkeypatch):
+    """Hadoop's local file system starts processes for every file, so their number follows the rows, not the partitions of shuffles."""
+    made = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, name, **how: made.append((name, stored(df, name, **how))) or made[-1][1])
+    rows = [(i, "good words there" if i % 4 else "bad words here") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        model = train(docs, labels)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files, tables = {n: len(df.inputFiles()) for n, df in made}, dict(made)
+    assert files["features"] <= max(spark.sparkContext.defaultParallelism, 20_000 // 2_000), files  # 20,000 texts at most, 2,000 a part
+    assert tables["features"].count() == tables["chosen"].count() and model.weights
+
+
 def test_held_out_rows_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import release_memory, ship, stored
+from tidelog.llm.common import few_parts, release_memory, ship, stored
 from tidelog.llm.decontaminate import words
 
 SPACE = 1 << 22
@@ -132,6 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["_positive", "_features"])
         release_memory()
 
+    # before the workers, so that each part is one run of a worker, and written as one file; 2,000 texts a part, as they may be long
+    sample = few_parts(sample, max_positive + max_unlabelled, each=2_000)
     rows = stored(sample.mapInArrow(featured, "_positive boolean, _features array<int>"), "features")
     n_p, n_u = rows.agg(F.sum(F.col("_positive").cast("int")), F.sum((~F.col("_positive")).cast("int"))).first()
     if not n_p or not n_u:
